@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing
+from . import mixing, pieces
 from .common import table
 
 
@@ -50,8 +50,22 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw
 """
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = pieces.model_bytes(public_tokenizers.path("piece_bpe_32k.model"))
+    return pieces.encode(docs, model, keep_text=False).select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.array_max("piece_ends"), F.lit(0)).cast("long").alias("bytes_covered"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources}
+    return {"op1_mix_sources": op1_mix_sources, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
