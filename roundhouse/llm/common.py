@@ -5,13 +5,18 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Arrow batches stay within these bounds, so that a Python worker's memory doesn't grow with the table.
 MAX_BATCH_ROWS = 2000
 MAX_BATCH_BYTES = 8 << 20
+#: Characters of the texts that a function of map_texts() gets at a time; one text may be longer.
+PART_CHARS = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -92,3 +97,31 @@ def sampled_labels(labels: DataFrame, key: str, label: str, per_class: int, seed
     rate = {c: min(1.0, per_class / max(1, sizes.get(c, 0))) for c in (0, 1)}
     of = lambda x: F.when(F.col(label) == 1, F.lit(x[1])).otherwise(F.lit(x[0]))
     return clean.where(unit_hash(F.col(key), seed) < of(rate)).withColumn("weight", of({c: 1.0 / rate[c] for c in (0, 1)}))
+
+
+def map_texts(docs: DataFrame, text: str, new: T.StructType, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], keep_text: bool = True, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs with new columns, made from one text column by make()'s function on the executors.
+
+    make is called once in a task; its function gets some texts at a time, whole, and returns one Arrow array for each new
+    column. Other columns (keep, or all) pass through as they are; columns of the new names are replaced.
+    """
+    bounded_batches(docs.sparkSession)
+    docs = docs.drop(*new.names)
+    names = [c for c in (docs.columns if keep is None else keep) if keep_text or c != text]
+    schema = T.StructType([docs.schema[c] for c in names] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = make()
+        for batch in batches:
+            texts = batch.column(batch.schema.names.index(text)).to_pylist()
+            start = 0
+            while start < len(texts):
+                end, chars = start, 0
+                while end < len(texts) and (end == start or chars < PART_CHARS):
+                    chars += len(texts[end] or "")
+                    end += 1
+                rest = batch.slice(start, end - start).select(names)
+                yield pa.RecordBatch.from_arrays([*rest.columns, *work(texts[start:end])], names + new.names)
+                start = end
+
+    return docs.mapInArrow(run, schema)

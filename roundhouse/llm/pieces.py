@@ -17,15 +17,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import bounded_batches
+from .common import map_texts
 
 SPACE = "▁"
 REPLACEMENT = "�"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks whose ids a worker remembers; it forgets all beyond that, so its memory doesn't grow with the vocabulary of the corpus.
 REMEMBERED = 300_000
-#: Characters of the texts of one output batch.
-BATCH_CHARS = 1 << 20
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -255,33 +253,17 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep_text: bool =
     A null or empty text has no pieces and decodes to the empty text. Texts are encoded whole, however long. Other columns pass
     through, the text too unless keep_text is false; columns of the new names are replaced. An empty table gives no rows.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    docs = docs.drop(*NEW.names)
-    shared = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if keep_text or c != text]
-    schema = T.StructType([docs.schema[c] for c in names] + NEW.fields)
-
-    def batches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
         encoder = loaded(shared.value)
-        texts = [t or "" for t in batch.column(batch.schema.names.index(text)).to_pylist()]
-        rest = batch.select(names)
-        start = 0
-        while start < len(texts):
-            end = chars = 0
-            for end in range(start, len(texts)):
-                chars += len(texts[end])
-                if chars >= BATCH_CHARS:
-                    break
-            rows = list(encoder.encode(texts[start : end + 1]))
+
+        def work(texts: list[str | None]) -> list[pa.Array]:
+            rows = list(encoder.encode([t or "" for t in texts]))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32))
-            new = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]))) for k in range(3)]
-            decoded = pa.array([encoder.decode(r[0].tolist()) if len(r[0]) else "" for r in rows], pa.string())
-            yield pa.RecordBatch.from_arrays([*rest.slice(start, len(rows)).columns, *new, decoded], names + NEW.names)
-            start = end + 1
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]))) for k in range(3)]
+            return [*lists, pa.array([encoder.decode(r[0].tolist()) if len(r[0]) else "" for r in rows], pa.string())]
 
-    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
-            yield from batches(batch)
+        return work
 
-    return docs.mapInArrow(run, schema)
+    return map_texts(docs, text, NEW, make, keep_text)

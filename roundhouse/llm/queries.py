@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces
+from . import mixing, pieces, secrets
 from .common import table
 
 
@@ -50,6 +50,21 @@ SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw
 """
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    spans = F.col("secret_spans")
+    n = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+    base = F.filter(spans, lambda s: s["kind"] != secrets.GUESS)
+    return secrets.scan(docs, keep_text=False).select(
+        "doc_id",
+        n(secrets.ASSIGN).alias("n_assign"),
+        n(secrets.ACCESS).alias("n_access"),
+        n(secrets.HEX).alias("n_hex"),
+        F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(spans).alias("spans"),
+    )
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -65,7 +80,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_mix_sources": op1_mix_sources, "op8_sentencepiece": op8_sentencepiece}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op8_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
