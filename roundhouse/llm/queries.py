@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, pieces, secrets
+from . import langid, mixing, pieces, secrets
 from .common import table
 
 
@@ -79,8 +79,18 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(parts: int, part: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    filters = langid.fit(docs.where(~held_out(4, 2)))
+    return langid.predict(docs.select("doc_id", "text"), filters, keep_text=False).select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op8_sentencepiece)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op8_sentencepiece, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
