@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, secrets
+from . import langid, mixing, pieces, quality, secrets, toxicity
 from .common import table
 
 
@@ -65,6 +65,25 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def held_out(parts: int, part: int) -> Column:
+    """Whether a document is kept from learning: by its id's checksum; without an id, it isn't."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out(4, 2)))
+    score = F.col("toxic_score")
+    return toxicity.score(docs, model, keep_text=False).select("doc_id", held_out(4, 2).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality").where(~held_out(5, 0)))
+    score = F.col("quality_score")
+    return quality.score(docs, model, keep_text=False).select("doc_id", held_out(5, 0).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -79,18 +98,14 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def held_out(parts: int, part: int) -> Column:
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part
-
-
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
     filters = langid.fit(docs.where(~held_out(4, 2)))
-    return langid.predict(docs.select("doc_id", "text"), filters, keep_text=False).select("doc_id", F.coalesce(held_out(4, 2), F.lit(False)).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+    return langid.predict(docs.select("doc_id", "text"), filters, keep_text=False).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op4_toxicity, op6_quality, op8_sentencepiece, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
