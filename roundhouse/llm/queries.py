@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid, mixing, pieces, quality, secrets, toxicity
+from . import htmltext, langid, mixing, pieces, quality, secrets, toxicity
 from .common import table
 
 
@@ -77,6 +77,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, keep_text=False).select("doc_id", held_out(4, 2).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
+    text = F.col("main_text")
+    return htmltext.main_text(pages, htmltext.fit(pages), keep_page=False).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels", "doc_id", "quality").where(~held_out(5, 0)))
@@ -105,7 +111,7 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op4_toxicity, op6_quality, op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op4_toxicity, op5_main_text, op6_quality, op8_sentencepiece, op9_language_id)}
 
 
 def oracle_sql() -> dict[str, str]:
