@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, langid, mixing, pieces, quality, secrets, toxicity
+from . import htmltext, jaccard, langid, mixing, pieces, quality, secrets, toxicity
 from .common import table
 
 
@@ -110,8 +110,12 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), filters, keep_text=False).select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op4_toxicity, op5_main_text, op6_quality, op8_sentencepiece, op9_language_id)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op4_toxicity, op5_main_text, op6_quality, op8_sentencepiece, op9_language_id, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
