@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import htmltext, jaccard, langid, mixing, pieces, quality, secrets, toxicity
+from . import htmltext, jaccard, langid, mixing, pieces, postings, quality, quantized, secrets, toxicity
 from .common import table
 
 
@@ -70,6 +70,11 @@ def held_out(parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quantized.near_duplicates(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+    return found.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels", "doc_id", "toxic").where(~held_out(4, 2)))
@@ -90,6 +95,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model, keep_text=False).select("doc_id", held_out(5, 0).alias("held_out"), score.alias("score"), (score >= 0.3).cast("int").alias("predicted"))
 
 
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return postings.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -115,7 +125,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op4_toxicity, op5_main_text, op6_quality, op8_sentencepiece, op9_language_id, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_embedding_near_dedup, op4_toxicity, op5_main_text, op6_quality, op7_nearest_neighbours, op8_sentencepiece, op9_language_id, op10_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
