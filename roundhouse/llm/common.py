@@ -125,3 +125,16 @@ def map_texts(docs: DataFrame, text: str, new: T.StructType, make: Callable[[],
                 start = end
 
     return docs.mapInArrow(run, schema)
+
+
+def numbered(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with all columns but own named by number, so that no name clashes; and what gives a result its columns' names and order back.
+
+    Columns that the result has besides follow.
+    """
+    names = {c: c if c in own else f"column_{i}" for i, c in enumerate(docs.columns)}
+
+    def named(out: DataFrame) -> DataFrame:
+        return out.select(*[F.col(n).alias(c) for c, n in names.items()], *[c for c in out.columns if c not in names.values()])
+
+    return docs.toDF(*names.values()), named

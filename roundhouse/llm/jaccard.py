@@ -23,11 +23,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_texts, unit_hash, written
+from .common import bounded_batches, map_texts, numbered, unit_hash, written
 from .components import components
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -313,9 +313,10 @@ CLASSED = T.StructType([T.StructField("n_shingles", T.LongType()), T.StructField
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """(key, n_shingles, component_id, component) of each row: sets of width-word shingles link if their Jaccard similarity is percent / 100 or more.
+    """(key, n_shingles, component_id, component, shingle_class) of each row: sets of width-word shingles link if their Jaccard similarity is percent / 100 or more.
 
-    component_id is the least key that links reach, the row's own included; component is a 64-bit key of the same. Null and
+    component_id is the least key that links reach, the row's own included; component is a 64-bit key of the same, and
+    shingle_class one of the row's set. Null and
     empty texts, and texts without words, have no shingles, link with nothing and have their own key and a null component. Rows
     that repeat a key stay rows of their own; null keys are never the least, unless there are no others. An empty table gives
     no rows.
@@ -378,7 +379,39 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     more = written(_links(written(across), survivors, percent))
     found = written(components(links.unionByName(more))) if more.limit(1).count() else found
 
-    labelled = classed.join(found, classed["shingle_class"] == found["node"], "left").select("key", "n_shingles", F.coalesce("component", "shingle_class").alias("component"))
+    labelled = classed.join(found, classed["shingle_class"] == found["node"], "left").select("key", "n_shingles", "shingle_class", F.coalesce("component", "shingle_class").alias("component"))
     labelled = written(labelled)
     least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("key").alias("least"))
-    return labelled.join(least, "component", "left").select(F.col("key").alias(key), "n_shingles", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"), "component")
+    return labelled.join(least, "component", "left").select(F.col("key").alias(key), "n_shingles", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"), "component", "shingle_class")
+
+
+#: Up to this many keys are broadcast (16 bytes each and as much again); more are joined by shuffle.
+BROADCAST_KEYS = 1_000_000
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one row of each group of linked rows: that of the least key. Rows without shingles all stay, and so do all columns.
+
+    The texts of rows with keys of their own aren't shuffled while the keys to drop are few. Rows that share a key, or have none,
+    are told apart by their sets; of such rows of one group one stays, that of the least set, then text.
+    """
+    docs, named = numbered(docs, key, text)
+    found = written(join(docs.select(key, text), key, text, width, percent))
+    repeated = written(found.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) | F.col(key).isNull()).select(F.col(key).alias("at_key")))
+    dropped_ = found.where(F.col("component").isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("at_key")).distinct()
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
+    if not repeated.limit(1).count():
+        return named(docs.join(small(written(dropped_)), F.col(key) == F.col("at_key"), "left_anti"))
+    at = small(repeated)
+    single = docs.join(at, F.col(key).eqNullSafe(F.col("at_key")), "left_anti").join(small(written(dropped_)), F.col(key) == F.col("at_key"), "left_anti")
+    several = docs.join(at, F.col(key).eqNullSafe(F.col("at_key")), "left_semi")
+
+    def make():
+        return lambda texts: [pa.array([class_of(s) if len(s) else None for s in token_sets(texts, width)], pa.int64())]
+
+    several = map_texts(several, text, T.StructType([T.StructField("at_class", T.LongType())]), make)
+    sets = found.where(F.col("component").isNotNull() & F.col(key).eqNullSafe(F.col("component_id"))).select(F.col("shingle_class").alias("own_class"), F.col("component").alias("own_component"), F.col(key).alias("own_key")).distinct()
+    kept = several.join(sets, (F.col("at_class") == F.col("own_class")) & F.col(key).eqNullSafe(F.col("own_key")))
+    first = F.row_number().over(Window.partitionBy("own_component").orderBy("own_class", text, *[c for c in docs.columns if c != text]))
+    kept = kept.withColumn("own_rank", first).where("own_rank = 1").select(*docs.columns)
+    return named(single.unionByName(kept).unionByName(several.where("at_class is null").select(*docs.columns)))

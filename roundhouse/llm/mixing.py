@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import unit_hash, written
+from .common import numbered, unit_hash, written
 
 #: A word is a run of characters other than space, tab, line feed, vertical tab, form feed and carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -67,12 +67,12 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     """docs with the columns mix_size, mix_source_size, mix_target and mix_copies (int: how often the mix takes the document).
 
     A null text has size 0; an empty table gives no rows; null is a source of its own. Rows that repeat a key are drawn alike.
-    Other columns pass through. Columns whose names begin with mix_ are replaced.
+    Other columns pass through; those of the new names are replaced.
 
     One source may hold most rows: sums are taken before the shuffle, and the targets come back by broadcast while sources are
     few (counted first), else by a join on source and a salt, over which the rows of a source are spread.
     """
-    docs = docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies")
+    docs, named = numbered(docs.drop("mix_size", "mix_source_size", "mix_target", "mix_copies"), key, text, source)
     sizes = docs.groupBy(F.col(source).alias("source")).agg(F.sum(n_words(F.col(text))).alias("source_size"))
     targets = written(source_targets(sizes, weights, max_repeats)).select(
         F.col("source").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target")
@@ -88,10 +88,11 @@ def copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     rate = F.coalesce(F.try_divide(F.col("mix_target"), F.col("mix_source_size").cast("double")), F.lit(0.0))
     whole = F.floor(rate)
     extra = F.when(unit_hash(F.col(key), seed) < rate - whole, 1).otherwise(0)
-    return joined.withColumn("mix_copies", (whole + extra).cast("int")).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies")
+    return named(joined.withColumn("mix_copies", (whole + extra).cast("int")).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_copies"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: each document of docs as often as copies() says, with the columns of docs."""
-    took = copies(docs, **options).where("mix_copies > 0")
-    return took.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    plain, named = numbered(docs, *[options.get(c, d) for c, d in (("key", "doc_id"), ("text", "text"), ("source", "source"))])
+    took = copies(plain, **options).where("mix_copies > 0")
+    return named(took.withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*plain.columns))

@@ -124,8 +124,14 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_embedding_near_dedup, op4_toxicity, op5_main_text, op6_quality, op7_nearest_neighbours, op8_sentencepiece, op9_language_id, op10_jaccard_join)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_secret_scan, op3_embedding_near_dedup, op4_toxicity, op5_main_text, op6_quality, op7_nearest_neighbours, op8_sentencepiece, op9_language_id, op10_jaccard_join, pipeline)}
 
 
 def oracle_sql() -> dict[str, str]:
