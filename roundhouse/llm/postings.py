@@ -124,23 +124,33 @@ def chosen(g: Graph, x: np.ndarray, replicas: int, border: float) -> tuple[np.nd
 
 
 def measured_ratio(g: Graph, x: np.ndarray, k: int, share: float, replicas: int, border: float, queries: int = 400) -> float:
-    """The ratio with which that share of the sample's true neighbours are in lists that are read."""
-    row, at = chosen(g, x, replicas, border)
+    """The ratio with which that share of the sample's true neighbours are in lists that are read. x: lifted vectors."""
     lists = np.full((len(x), replicas), -1)
-    nth = np.arange(len(row)) - np.searchsorted(row, row)
-    lists[row, nth] = at
-    q = x[:: max(1, len(x) // queries)]
-    d = np.sqrt(squared(q, g.centroids))
-    true = np.argsort(squared(q, x), axis=1)[:, 1 : k + 1]
-    if not true.shape[1]:
-        return 1.0
-    there = lists[true]
-    far = np.where(there >= 0, np.take_along_axis(d, np.maximum(there, 0).reshape(len(q), -1), axis=1).reshape(there.shape), np.inf).min(axis=2)
-    return float(np.quantile(far / np.maximum(1e-12, d.min(axis=1))[:, None], share))
+    for i in range(0, len(x), 512):
+        row, at = chosen(g, x[i : i + 512], replicas, border)
+        lists[i + row, np.arange(len(row)) - np.searchsorted(row, row)] = at
+    step = max(1, len(x) // queries)
+    asked = np.arange(0, len(x), step)
+    found = []
+    for i in range(0, len(asked), 50):
+        own = asked[i : i + 50]
+        q = x[own].copy()
+        q[:, -1] = 0.0
+        near = q @ x.T
+        near[np.arange(len(own)), own] = -np.inf
+        true = np.argpartition(-near, min(k, len(x)) - 1, axis=1)[:, :k]
+        true = np.where(true == own[:, None], -1, true)
+        d = np.sqrt(squared(q, g.centroids))
+        there = lists[true]
+        far = np.where((there >= 0) & (true >= 0)[:, :, None], np.take_along_axis(d, np.maximum(there, 0).reshape(len(q), -1), axis=1).reshape(there.shape), np.inf).min(axis=2)
+        far = far / np.maximum(1e-12, d.min(axis=1))[:, None]
+        found.append(far[np.isfinite(far)])
+    every = np.concatenate(found)
+    return float(np.quantile(every, share)) if len(every) else 1.0
 
 
 def lifted(x: np.ndarray, norm2: np.ndarray, most: float) -> np.ndarray:
-    """One more component brings all vectors to one length, so that the nearest ones are those of the largest inner product."""
+    """One more component brings all vectors to one length; of a query, that has none of it, those of the largest inner product are then the nearest."""
     return np.column_stack([x, np.sqrt(np.maximum(0.0, most - norm2))])
 
 
@@ -191,12 +201,14 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     ratio = measured_ratio(g, x, k, share, replicas, border)
     shared = spark.sparkContext.broadcast(g)
 
-    def assigned(pick):
+    def assigned(pick, query: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 for i in range(0, b.num_rows, 512):
                     part = b.slice(i, 512)
                     v = lifted(matrix(part.column(1).to_pylist(), dim), part.column(2).to_numpy(), most)
+                    if query:
+                        v[:, -1] = 0.0
                     row, at = pick(shared.value, v)
                     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *part.take(pa.array(row)).select(["key", "vec"]).columns], ["list", "key", "vec"])
 
@@ -207,8 +219,8 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
         return np.nonzero(d <= ratio * d.min(axis=1)[:, None])
 
     out = "list int, key long, vec binary"
-    postings = written(rows.mapInArrow(assigned(lambda graph_, v: chosen(graph_, v, replicas, border)), out))
-    asks = written(asked.mapInArrow(assigned(read), out))
+    postings = written(rows.mapInArrow(assigned(lambda graph_, v: chosen(graph_, v, replicas, border), False), out))
+    asks = written(asked.mapInArrow(assigned(read, True), out))
     blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks")).join(asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks")), "list")
     dealt = F.broadcast(written(blocks))
     cell = lambda c: F.pmod(F.xxhash64("key", "vec"), F.col(c))
