@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 MAX_BATCH_ROWS = 2000
 MAX_BATCH_BYTES = 8 << 20
 #: Characters of the texts that a function of map_texts() gets at a time; one text may be longer.
-PART_CHARS = 1 << 20
+PART_CHARS = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -99,6 +99,18 @@ def sampled_labels(labels: DataFrame, key: str, label: str, per_class: int, seed
     return clean.where(unit_hash(F.col(key), seed) < of(rate)).withColumn("weight", of({c: 1.0 / rate[c] for c in (0, 1)}))
 
 
+def parts_of(texts: Sequence[str | None], most: int | None = None) -> Iterator[tuple[int, int]]:
+    """Starts and ends of parts of a list that have about most characters (PART_CHARS), or one longer text."""
+    start, most = 0, most or PART_CHARS
+    while start < len(texts):
+        end, chars = start, 0
+        while end < len(texts) and (end == start or chars + len(texts[end] or "") <= most):
+            chars += len(texts[end] or "")
+            end += 1
+        yield start, end
+        start = end
+
+
 def map_texts(docs: DataFrame, text: str, new: T.StructType, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], keep_text: bool = True, keep: Sequence[str] | None = None) -> DataFrame:
     """docs with new columns, made from one text column by make()'s function on the executors.
 
@@ -114,15 +126,9 @@ def map_texts(docs: DataFrame, text: str, new: T.StructType, make: Callable[[],
         work = make()
         for batch in batches:
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            start = 0
-            while start < len(texts):
-                end, chars = start, 0
-                while end < len(texts) and (end == start or chars < PART_CHARS):
-                    chars += len(texts[end] or "")
-                    end += 1
+            for start, end in parts_of(texts):
                 rest = batch.slice(start, end - start).select(names)
                 yield pa.RecordBatch.from_arrays([*rest.columns, *work(texts[start:end])], names + new.names)
-                start = end
 
     return docs.mapInArrow(run, schema)
 

@@ -19,21 +19,20 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large stars and small stars take turns: a node's larger neighbours are linked to its least one, then itself and its smaller
     neighbours are; both keep components whole, and the links become stars around least nodes in some log-many rounds. A node may
     have any number of links: the least neighbour is aggregated before the shuffle, and the join back to a hot node can be split.
-    Each round is a written table; nothing but its row count and checksum comes to the driver.
+    Each round is a written table; whether a node is both a centre and linked to another one is all that the driver asks.
     """
-    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
-    pairs = written(pairs)
-    seen = None
+    pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
+    kept = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = both.join(_least(both), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = both.join(_least(both), "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = _least(large)
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         after = written(small.where("u <> v").distinct())
-        dropped(pairs)
-        pairs = after
-        state = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").bitwiseAND(0xFFFFFFFF))).first())
-        if state == seen:
+        if kept is not None:
+            dropped(kept)
+        pairs = kept = after
+        centres = pairs.select(F.col("v").alias("c")).distinct()
+        if not pairs.join(centres, F.col("u") == F.col("c"), "left_semi").limit(1).count():
             break
-        seen = state
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -27,12 +27,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_texts, numbered, unit_hash, written
+from .common import bounded_batches, map_texts, numbered, parts_of, unit_hash, written
 from .components import components
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
 #: Tokens that a task gathers before it sends them on, and that one shard of all tokens has.
-GATHERED = 1 << 21
+GATHERED = 1 << 20
 SHARD_TOKENS = 1_500_000
 #: Documents that are looked over for very common tokens, and the share of them that makes a token one (some hundred thousand at most).
 LOOKED_OVER = 4000
@@ -65,8 +65,8 @@ def token_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
     out = [np.zeros(0, np.uint64)] * len(texts)
     if not len(first):
         return out
-    place = np.arange(len(byte), dtype=np.int64)
-    depth = place - np.maximum.accumulate(np.where(start, place, 0))
+    place = np.arange(len(byte), dtype=np.int32)
+    depth = place - np.maximum.accumulate(np.where(start, place, np.int32(0)))
     depth[blank] = 0
     power = np.cumprod(np.full(int(depth.max()) + 1, MIX[1], np.uint64))
     word = mixed(np.add.reduceat(np.where(blank, np.uint64(0), _BYTES[byte] * power[depth]), first))
@@ -111,7 +111,8 @@ def _common(docs: DataFrame, text: str, key: str, width: int, rows: int) -> np.n
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = token_sets(b.column(0).to_pylist(), width)
+            texts = b.column(0).to_pylist()
+            sets = [s for i, j in parts_of(texts) for s in token_sets(texts[i:j], width)]
             h, n = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -126,15 +127,6 @@ def _within(common: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return common[np.minimum(np.searchsorted(common, tokens), len(common) - 1)] == tokens
 
 
-def _packed(tokens: np.ndarray, counts: np.ndarray) -> bytes:
-    return tokens.astype("<u8").tobytes() + counts.astype("<u2").tobytes()
-
-
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(blob) // 10
-    return np.frombuffer(blob, "<u8", n), np.frombuffer(blob, "<u2", n, 8 * n)
-
-
 def _planes(x: np.ndarray) -> bytes:
     """Ascending numbers as differences, byte plane by byte plane, without the planes that are zero; their number comes first."""
     steps = np.diff(x, prepend=x.dtype.type(0))
@@ -175,8 +167,8 @@ def _shards(docs: DataFrame, text: str, width: int, common, shards: int, bits: i
         cut = np.uint64(64 - bits)
         for b in batches:
             texts = b.column(0).to_pylist()
-            for i in range(0, len(texts), 256):
-                for tokens in token_sets(texts[i : i + 256], width):
+            for i, j in parts_of(texts):
+                for tokens in token_sets(texts[i:j], width):
                     if len(tokens) and (c := class_of(tokens)) not in sent:
                         sent.add(c)
                         gathered.append((c, np.unique(tokens[~_within(hot, tokens)] >> cut)))
@@ -190,8 +182,8 @@ def _shards(docs: DataFrame, text: str, width: int, common, shards: int, bits: i
     return docs.select(text).mapInArrow(run, "shard int, tokens binary, owners binary, classes binary")
 
 
-def _shared(shards: DataFrame, size: int) -> DataFrame:
-    """(class, part): of each class its tokens in a shard that other classes have too, with the number of classes."""
+def _shared(shards: DataFrame, size: int, buckets: int) -> DataFrame:
+    """(bucket, classes, tokens, counts): what classes of a bucket share of a shard's tokens with other classes, and with how many."""
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
         tokens, owners = [], []
@@ -210,37 +202,51 @@ def _shared(shards: DataFrame, size: int) -> DataFrame:
         counts = np.diff(np.append(first, len(tokens)))
         per = np.repeat(np.minimum(counts, HOT - 1), counts)
         keep = per > 1
-        order = np.argsort(owners[keep], kind="stable")
-        tokens, owners, per = tokens[keep][order] + base, owners[keep][order], per[keep][order]
-        cuts = np.flatnonzero(np.diff(owners, prepend=~owners[:1])) if len(owners) else np.zeros(0, int)
-        ends = np.append(cuts[1:], len(owners))
-        return pd.DataFrame({"class": owners[cuts], "part": [_packed(tokens[a:b], per[a:b]) for a, b in zip(cuts, ends, strict=True)] if len(cuts) else []})
+        tokens, owners, per = tokens[keep] + base, owners[keep], per[keep]
+        bucket = owners % buckets
+        order = np.argsort(bucket, kind="stable")
+        cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+        rows = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            at = order[a:b]
+            rows.append((int(bucket[at[0]]), owners[at].tobytes(), tokens[at].tobytes(), per[at].astype("<u2").tobytes()))
+        return pd.DataFrame(rows, columns=["bucket", "classes", "tokens", "counts"])
 
-    return shards.groupBy("shard").applyInPandas(count, "class long, part binary")
+    return shards.groupBy("shard").applyInPandas(count, "bucket long, classes binary, tokens binary, counts binary")
 
 
-def _survivors(classes: DataFrame, shared: DataFrame, percent: int) -> DataFrame:
+def _survivors(classes: DataFrame, shared: DataFrame, percent: int, buckets: int, cut: int) -> DataFrame:
     """(class, n, alone, tokens, signature) of the classes with enough shared tokens to link; tokens in order, rare ones first.
 
     alone: its tokens that no other class has, which come before those.
     """
-    parts = classes.select("class", "n", F.col("common").alias("part")).unionByName(shared.select("class", F.lit(0).alias("n"), "part"))
-    whole = parts.groupBy("class").agg(F.max("n").alias("n"), F.collect_list("part").alias("parts"), F.sum(F.octet_length("part")).alias("bytes"))
-    whole = whole.where(F.col("bytes") >= 10 * F.ceil(F.col("n") * percent / 100)).select("class", "n", "parts")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = []
-            for c, n, parts in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                pairs = [_unpacked(p) for p in parts]
-                tokens, counts = np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs])
-                if len(tokens) >= least_own(n, percent):
-                    tokens = tokens[np.lexsort((tokens, counts))]
-                    signature = np.bincount((mixed(tokens) >> np.uint64(57)).astype(np.int64), minlength=SIGNATURE)
-                    rows.append((c, n, n - len(tokens), tokens.astype("<u8").tobytes(), signature.astype("<u2").tobytes()))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], ["class", "n", "alone", "tokens", "signature"])
-
-    return whole.mapInArrow(run, "class long, n long, alone long, tokens binary, signature binary")
+    def gather(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        owners = [np.frombuffer(x, np.int64) for x in parts["classes"]]
+        tokens = [np.frombuffer(x, np.uint64) for x in parts["tokens"]]
+        counts = [np.frombuffer(x, "<u2") for x in parts["counts"]]
+        for c, blob in zip(own["class"], own["common"], strict=True):
+            if len(blob):
+                hot = np.unique(np.frombuffer(blob, "<u8") >> np.uint64(cut))
+                tokens.append(hot)
+                owners.append(np.full(len(hot), c, np.int64))
+                counts.append(np.full(len(hot), HOT, np.uint16))
+        rows = []
+        if owners:
+            owners, tokens, counts = np.concatenate(owners), np.concatenate(tokens), np.concatenate(counts)
+            order = np.lexsort((tokens, counts, owners))
+            owners, tokens = owners[order], tokens[order]
+            sizes = dict(zip(own["class"].tolist(), own["n"].tolist(), strict=True))
+            cuts = np.flatnonzero(np.diff(owners, prepend=~owners[:1], append=~owners[-1:]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                n = sizes[int(owners[a])]
+                if b - a >= least_own(n, percent):
+                    signature = np.bincount((mixed(tokens[a:b]) >> np.uint64(57)).astype(np.int64), minlength=SIGNATURE)
+                    rows.append((int(owners[a]), n, n - (b - a), tokens[a:b].tobytes(), signature.astype("<u4").tobytes()))
+        return pd.DataFrame(rows, columns=["class", "n", "alone", "tokens", "signature"])
+
+    own = classes.withColumn("bucket", F.pmod("class", F.lit(buckets).cast("long"))).groupBy("bucket")
+    return own.cogroup(shared.groupBy("bucket")).applyInPandas(gather, "class long, n long, alone long, tokens binary, signature binary")
 
 
 def _prefixes(survivors: DataFrame, percent: int) -> DataFrame:
@@ -289,7 +295,7 @@ def _links(pairs: DataFrame, survivors: DataFrame, percent: int) -> DataFrame:
                 continue
             col = {k: b.column(i) for i, k in enumerate(b.schema.names)}
             n, m = col["a_n"].to_numpy(), col["b_n"].to_numpy()
-            x, y = (np.frombuffer(b"".join(col[k].to_pylist()), "<u2").reshape(-1, SIGNATURE).astype(np.int64) for k in ("a_signature", "b_signature"))
+            x, y = (np.frombuffer(b"".join(col[k].to_pylist()), "<u4").reshape(-1, SIGNATURE).astype(np.int64) for k in ("a_signature", "b_signature"))
             keep = (100 + percent) * np.minimum(x, y).sum(axis=1) >= percent * (n + m)
             yield b.select(["a", "b", "a_n", "b_n"]).filter(pa.array(keep))
 
@@ -336,7 +342,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
             return [
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([class_of(s) if len(s) else None for s in sets], pa.int64()),
-                pa.array([_packed(o, np.full(len(o), HOT)) for o in own], pa.binary()),
+                pa.array([o.tobytes() for o in own], pa.binary()),
             ]
 
         return work
@@ -350,18 +356,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     cut = 64 - bits
     size = -(-(1 << bits) // parts)
 
-    def shifted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Common tokens cut like the others."""
-        for b in batches:
-            out = []
-            for blob in b.column(2).to_pylist():
-                tokens = np.unique(_unpacked(blob)[0] >> np.uint64(cut))
-                out.append(_packed(tokens, np.full(len(tokens), HOT)))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], b.schema.names)
-
-    classes = classes.mapInArrow(shifted, "class long, n long, common binary")
     shards = _shards(docs, "text", width, common, parts, bits).repartition(parts, "shard")
-    survivors = written(_survivors(classes, _shared(shards, size), percent))
+    survivors = written(_survivors(classes, _shared(shards, size, parts), percent, parts, cut))
     prefixes = written(_prefixes(survivors, percent))
 
     pivot = F.min_by(F.struct("class", "n", "place"), F.struct(F.col("alone") / F.col("n"), F.col("class")))
