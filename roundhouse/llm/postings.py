@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, written
 from .vectors import dimension, drawn, matrix, squared, with_bytes
 
-#: Rows of a list that one task compares at a time, and queries; longer lists are split.
+#: Bytes of vectors that one task compares at a time: as many lists side by side, or part of a longer one. Queries are dealt to blocks.
+CELL_BYTES = 8 << 20
 BLOCK = 4096
 DEGREE, ENTRIES, EXPANDED = 16, 8, 4
 
@@ -154,16 +155,35 @@ def lifted(x: np.ndarray, norm2: np.ndarray, most: float) -> np.ndarray:
     return np.column_stack([x, np.sqrt(np.maximum(0.0, most - norm2))])
 
 
+def cells(sizes: dict[int, int], lists: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each list its first cell and how many it is dealt to: neighbouring lists share a cell of about most rows, a longer list has several of its own."""
+    first, parts = np.zeros(lists, np.int64), np.ones(lists, np.int64)
+    cell = rows = 0
+    for at in range(lists):
+        n = sizes.get(at, 0)
+        if rows and rows + n > most:
+            cell, rows = cell + 1, 0
+        first[at] = cell
+        if n > most:
+            parts[at] = -(-n // most)
+            cell, rows = cell + int(parts[at]), 0
+        else:
+            rows += n
+    return first, parts
+
+
 def _best(queries: pd.DataFrame, rows: pd.DataFrame, dim: int, k: int) -> pd.DataFrame:
-    """Of each query the best k rows of a block, by inner product, then key."""
+    """Of each query the best k rows of a cell, among those of lists that it reads, by inner product, then key."""
     if not len(queries) or not len(rows):
         return pd.DataFrame({"query": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "score": np.zeros(0)})
     y, x = matrix(list(rows["vec"]), dim), matrix(list(queries["vec"]), dim)
     key, query = rows["key"].to_numpy(np.int64), queries["key"].to_numpy(np.int64)
+    lists, of = np.unique(rows["list"].to_numpy(np.int64), return_inverse=True)
+    reads = np.stack([np.isin(lists, np.frombuffer(r, np.int32)) for r in queries["lists"]])
     out = []
-    for i in range(0, len(x), 256):
-        near = x[i : i + 256] @ y.T
-        near[query[i : i + 256][:, None] == key[None]] = -np.inf
+    for i in range(0, len(x), 128):
+        near = x[i : i + 128] @ y.T
+        near[~reads[i : i + 128][:, of] | (query[i : i + 128][:, None] == key[None])] = -np.inf
         kth = np.partition(near, -min(k, len(key)), axis=1)[:, -min(k, len(key))]
         r, c = np.nonzero(near >= np.where(np.isfinite(kth), kth - 1e-9 * np.abs(kth), np.finfo(float).min)[:, None])
         score = (x[i + r] * y[c]).sum(axis=1)  # in the same order of terms everywhere, so that equal vectors tie
@@ -201,33 +221,43 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     ratio = measured_ratio(g, x, k, share, replicas, border)
     shared = spark.sparkContext.broadcast(g)
 
-    def assigned(pick, query: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for i in range(0, b.num_rows, 512):
-                    part = b.slice(i, 512)
-                    v = lifted(matrix(part.column(1).to_pylist(), dim), part.column(2).to_numpy(), most)
-                    if query:
-                        v[:, -1] = 0.0
-                    row, at = pick(shared.value, v)
-                    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *part.take(pa.array(row)).select(["key", "vec"]).columns], ["list", "key", "vec"])
-
-        return run
-
-    def read(graph_: Graph, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        d = graph_.search(v, ratio, 8)
-        return np.nonzero(d <= ratio * d.min(axis=1)[:, None])
-
-    out = "list int, key long, vec binary"
-    postings = written(rows.mapInArrow(assigned(lambda graph_, v: chosen(graph_, v, replicas, border), False), out))
-    asks = written(asked.mapInArrow(assigned(read, True), out))
-    blocks = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks")).join(asks.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks")), "list")
-    dealt = F.broadcast(written(blocks))
-    cell = lambda c: F.pmod(F.xxhash64("key", "vec"), F.col(c))
-    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = asks.join(dealt, "list").withColumn("qb", cell("query_blocks")).withColumn("rb", each("row_blocks")).select("list", "rb", "qb", "key", "vec")
-    right = postings.join(dealt, "list").withColumn("rb", cell("row_blocks")).withColumn("qb", each("query_blocks")).select("list", "rb", "qb", "key", "vec")
-    found = left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb")).applyInPandas(lambda q, r: _best(q, r, dim, k), "query long, key long, score double")
+    def lifted_parts(b: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        for i in range(0, b.num_rows, 512):
+            part = b.slice(i, 512)
+            yield part, lifted(matrix(part.column(1).to_pylist(), dim), part.column(2).to_numpy(), most)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, v in lifted_parts(b):
+                row, at = chosen(shared.value, v, replicas, border)
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *part.take(pa.array(row)).select(["key", "vec"]).columns], ["list", "key", "vec"])
+
+    postings = written(rows.mapInArrow(assign, "list int, key long, vec binary"))
+    sizes = {r["list"]: r["n"] for r in postings.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # as many rows as lists
+    first, parts = cells(sizes, len(g.centroids), max(1, CELL_BYTES // (8 * dim)))
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part, v in lifted_parts(b):
+                v[:, -1] = 0.0
+                d = shared.value.search(v, ratio, 8)
+                row, cell, lists_ = [], [], []
+                for i, near in enumerate(d <= ratio * d.min(axis=1)[:, None]):
+                    at = np.flatnonzero(near).astype(np.int32)
+                    for c in np.unique(np.concatenate([np.arange(first[j], first[j] + parts[j]) for j in at])):
+                        row.append(i)
+                        cell.append(c)
+                        lists_.append(at[(first[at] <= c) & (c < first[at] + parts[at])].tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(lists_, pa.binary()), *part.take(pa.array(row, pa.int64())).select(["key", "vec"]).columns], ["cell", "lists", "key", "vec"])
+
+    asks = written(asked.mapInArrow(ask, "cell long, lists binary, key long, vec binary"))
+    places = F.broadcast(spark.createDataFrame([(i, int(c), int(n)) for i, (c, n) in enumerate(zip(first, parts, strict=True))], "list int, first long, parts long"))
+    blocks = F.broadcast(written(asks.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))))
+    dealt = lambda c: F.pmod(F.xxhash64("key", "vec"), F.col(c))
+    left = asks.join(blocks, "cell").select("cell", dealt("blocks").alias("block"), "key", "vec", "lists")
+    right = postings.join(places, "list").withColumn("cell", F.col("first") + dealt("parts")).join(blocks, "cell")
+    right = right.select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), "key", "vec", "list")
+    found = left.groupBy("cell", "block").cogroup(right.groupBy("cell", "block")).applyInPandas(lambda q, r: _best(q, r, dim, k), "query long, key long, score double")
     once = found.groupBy("query", "key").agg(F.max("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "key"))
     return once.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query").alias("query_id"), "rank", F.col("key").alias(key), "score")
