@@ -60,7 +60,7 @@ def resampled(df: DataFrame, keys: Sequence[str], time: str, order: str, values:
 
     grid = df.groupBy(*keys).agg(F.min(time).alias("_a"), F.max(time).alias("_b"))
     grid = grid.select(*keys, F.explode(F.sequence(F.ceil(F.col("_a") / step) * step, F.ceil(F.col("_b") / step) * step, F.lit(step).cast("long"))).alias(time)).join(grid, list(keys)).where(F.col(time) <= F.col("_b")).drop("_a", "_b")
-    return asof(grid, df, keys, time, values, [order], prefix="").select(*keys, time, *values)
+    return asof(grid, df, keys, time, values, [order]).select(*keys, time, *[F.col(f"r_{v}").alias(v) for v in values])
 
 
 def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:

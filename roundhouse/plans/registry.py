@@ -31,9 +31,10 @@ def on_session(sql: str | None = None):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return f(session(spark, sf_dir))
 
+        run.of = f  # for other queries that build on it
         QUERIES[f.__name__] = run
         if sql:
             SQL[f.__name__] = ORACLE + sql
-        return f
+        return run
 
     return add
