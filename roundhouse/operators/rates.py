@@ -13,17 +13,17 @@ from ..functions.compat import ratio
 
 @dataclass(frozen=True)
 class Rate:
-    """A share: rows for which flag holds, among those for which of does (all, if it isn't given). Weak below a number of these."""
+    """A share: rows for which the SQL condition flag holds, among those for which of does. Weak below a number of these."""
 
     name: str
-    flag: Column
-    of: Column | None = None
+    flag: str
+    of: str = "true"
     weak_below: int = 8
 
     def parts(self) -> list[Column]:
-        base = self.of if self.of is not None else F.lit(True)
+        base = F.expr(self.of)
         count = lambda c: F.coalesce(F.sum(F.when(c, 1)), F.lit(0)).cast("long")
-        return [count(base & self.flag).alias(f"{self.name}_n"), count(base).alias(f"{self.name}_d")]
+        return [count(base & F.expr(self.flag)).alias(f"{self.name}_n"), count(base).alias(f"{self.name}_d")]
 
     def finished(self) -> list[Column]:
         n, d = F.col(f"{self.name}_n"), F.col(f"{self.name}_d")

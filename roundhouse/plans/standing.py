@@ -14,9 +14,11 @@ from .combat import BY, PARTICIPATION_SQL, participation
 from .registry import on_session, query
 
 SPECS = (
-    Rate("kill_share", F.col("killed")), Rate("survival", F.col("survived")), Rate("traded_share", F.col("traded"), ~F.col("survived"), 4),
-    Rate("assist_share", F.col("assisted"), F.col("killed"), 4),
-)
+    Rate("kill_share", "killed"),
+    Rate("survival", "survived"),
+    Rate("traded_share", "traded", "not survived", 4),
+    Rate("assist_share", "assisted", "killed", 4),
+)
 
 
 def _rate_sql(name: str, flag: str, of: str = "true", weak: int = 8) -> str:
