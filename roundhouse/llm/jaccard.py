@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_texts, numbered, parts_of, unit_hash, written
+from .common import bounded_batches, dropped, map_texts, numbered, parts_of, unit_hash, written
 from .components import components
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -373,10 +373,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     fewer = mixed_.where("component <> largest").drop("largest")
     across = _pairs(fewer, mixed_.drop("largest"), percent).join(tried, ["a", "b"], "left_anti")
     more = written(_links(written(across), survivors, percent))
-    found = written(components(links.unionByName(more))) if more.limit(1).count() else found
+    if more.limit(1).count():
+        dropped(found)
+        found = written(components(links.unionByName(more)))
 
     labelled = classed.join(found, classed["shingle_class"] == found["node"], "left").select("key", "n_shingles", "shingle_class", F.coalesce("component", "shingle_class").alias("component"))
     labelled = written(labelled)
+    for done in (classed, survivors, prefixes, tried, links, placed, more, found):
+        dropped(done)
     least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("key").alias("least"))
     return labelled.join(least, "component", "left").select(F.col("key").alias(key), "n_shingles", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"), "component", "shingle_class")
 
@@ -394,12 +398,12 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", width:
     docs, named = numbered(docs, key, text)
     found = written(join(docs.select(key, text), key, text, width, percent))
     repeated = written(found.groupBy(key).agg(F.count(F.lit(1)).alias("rows")).where((F.col("rows") > 1) | F.col(key).isNull()).select(F.col(key).alias("at_key")))
-    dropped_ = found.where(F.col("component").isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("at_key")).distinct()
+    others = found.where(F.col("component").isNotNull() & (F.col(key) != F.col("component_id"))).select(F.col(key).alias("at_key")).distinct()
     small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
     if not repeated.limit(1).count():
-        return named(docs.join(small(written(dropped_)), F.col(key) == F.col("at_key"), "left_anti"))
+        return named(docs.join(small(written(others)), F.col(key) == F.col("at_key"), "left_anti"))
     at = small(repeated)
-    single = docs.join(at, F.col(key).eqNullSafe(F.col("at_key")), "left_anti").join(small(written(dropped_)), F.col(key) == F.col("at_key"), "left_anti")
+    single = docs.join(at, F.col(key).eqNullSafe(F.col("at_key")), "left_anti").join(small(written(others)), F.col(key) == F.col("at_key"), "left_anti")
     several = docs.join(at, F.col(key).eqNullSafe(F.col("at_key")), "left_semi")
 
     def make():

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, written
+from .common import bounded_batches, dropped, written
 from .components import components
 from .vectors import centroids, dimension, drawn, matrix, squared, with_bytes
 
@@ -212,6 +212,8 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     sizes = classes.select("class", "size").join(counts, "class", "left").join(comps, classes["class"] == comps["node"], "left")
     sizes = sizes.select("class", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component"))
     labelled = written(rows.select("key", "class").join(sizes, "class", "left"))
+    for done in (rows, classes, lists, probes, found, comps):
+        dropped(done)
     least_key = labelled.where("class is not null").groupBy("component").agg(F.min("key").alias("least"))
     return labelled.join(least_key, "component", "left").select(
         F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id")
