@@ -23,7 +23,7 @@ def dropped_opening_round(s: Session) -> DataFrame:
     """A first round all of whose damage fits a pattern is taken out, and later ones are numbered anew."""
     first = s.damages.groupBy("match_id").agg(F.min("round_num").alias("round_num"))
     odd = s.damages.join(first, ROUND).groupBy(*ROUND).agg(F.bool_and(F.col("weapon") != "sniper").alias("odd")).where("odd").select("match_id", F.col("round_num").alias("out"))
-    kept = s.damages.join(F.broadcast(odd), "match_id", "left").where("out is null or round_num <> out")
+    kept = s.damages.join(odd, "match_id", "left").where("out is null or round_num <> out")
     return kept.select("match_id", F.when(F.col("out").isNotNull(), F.col("round_num") - 1).otherwise(F.col("round_num")).alias("round_num"), "event_seq")
 
 
@@ -44,7 +44,7 @@ def side_by_round(s: Session) -> DataFrame:
 
 @on_session("""SELECT round_num, player, count(*) AS samples FROM ticks t JOIN rounds r USING (match_id, round_num) WHERE tick % 4 = 0 AND tick BETWEEN r.freeze_end AND r."end" GROUP BY 1, 2""")
 def position_samples(s: Session) -> DataFrame:
-    inside = s.ticks.join(F.broadcast(s.rounds.select(*ROUND, "freeze_end", "end")), ROUND).where((F.pmod("tick", F.lit(4)) == 0) & F.col("tick").between(F.col("freeze_end"), F.col("end")))
+    inside = s.ticks.join(s.rounds.select(*ROUND, "freeze_end", "end"), ROUND).where((F.pmod("tick", F.lit(4)) == 0) & F.col("tick").between(F.col("freeze_end"), F.col("end")))
     return inside.groupBy("round_num", "player").agg(F.count(F.lit(1)).alias("samples"))
 
 
@@ -61,7 +61,7 @@ def merged_parts(s: Session) -> DataFrame:
     parts = s.ev.groupBy("match_id").agg(F.max("round_num").alias("r"), F.max("tick").alias("t"))
     w = Window.orderBy("match_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("match_id", F.coalesce(F.sum("r").over(w), F.lit(0)).alias("r0"), F.coalesce(F.sum("t").over(w), F.lit(0)).alias("t0"))
-    return s.ev.join(F.broadcast(offsets), "match_id").select("event_seq", (F.col("round_num") + F.col("r0")).alias("round_num"), (F.col("tick") + F.col("t0")).alias("tick"))
+    return s.ev.join(offsets, "match_id").select("event_seq", (F.col("round_num") + F.col("r0")).alias("round_num"), (F.col("tick") + F.col("t0")).alias("tick"))
 
 
 # ---- credit, probability, mistakes

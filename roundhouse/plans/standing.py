@@ -116,14 +116,14 @@ def heat_map(s: Session) -> DataFrame:
 
 @on_session(""", o AS (SELECT match_id, round_num, side, place, count(*) / sum(count(*)) OVER (PARTITION BY match_id, round_num, side) AS share FROM ticks GROUP BY 1, 2, 3, 4), r AS (SELECT match_id, side, count(DISTINCT round_num) AS rounds FROM ticks GROUP BY ALL),
 st AS (SELECT o.match_id, o.side, place, sum(share) / any_value(rounds) AS usual FROM o JOIN r USING (match_id, side) GROUP BY 1, 2, 3), sp AS (SELECT DISTINCT match_id, round_num, side FROM ticks)
-SELECT sp.match_id, sp.round_num, sp.side, round(0.5 * sum(abs(coalesce(o.share, 0) - st.usual)), 4) AS deviation FROM sp JOIN st USING (match_id, side) LEFT JOIN o ON o.round_num = sp.round_num AND o.side = sp.side AND o.place = st.place GROUP BY 1, 2, 3""")
+SELECT sp.match_id, sp.round_num, sp.side, round(0.5 * sum(abs(coalesce(o.share, 0) - st.usual)) + 1e-9::DOUBLE, 4) AS deviation FROM sp JOIN st USING (match_id, side) LEFT JOIN o ON o.round_num = sp.round_num AND o.side = sp.side AND o.place = st.place GROUP BY 1, 2, 3""")
 def setup_deviation(s: Session) -> DataFrame:
     counts = s.ticks.groupBy(*ROUND, "side", "place").agg(F.count(F.lit(1)).alias("n"))
     share = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*ROUND, "side"))).drop("n")
     rounds = s.ticks.groupBy("match_id", "side").agg(F.count_distinct("round_num").alias("rounds"))
     usual = share.join(rounds, ["match_id", "side"]).groupBy("match_id", "side", "place").agg((F.sum("share") / F.first("rounds")).alias("usual"))
     every = s.ticks.select(*ROUND, "side").distinct().join(usual, ["match_id", "side"]).join(share, [*ROUND, "side", "place"], "left")
-    return every.groupBy(*ROUND, "side").agg(F.round(0.5 * F.sum(F.abs(F.coalesce("share", F.lit(0.0)) - F.col("usual"))), 4).alias("deviation"))
+    return every.groupBy(*ROUND, "side").agg(F.round(0.5 * F.sum(F.abs(F.coalesce("share", F.lit(0.0)) - F.col("usual"))) + 1e-9, 4).alias("deviation"))
 
 
 @on_session(""", n AS (SELECT match_id, round_num, player, place, count(*) AS n FROM ticks GROUP BY ALL), sh AS (SELECT *, n / sum(n) OVER (PARTITION BY match_id, round_num, player) AS share, row_number() OVER (PARTITION BY match_id, round_num, player ORDER BY n DESC, place) AS nth FROM n)
