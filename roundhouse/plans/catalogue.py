@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import combat, live, rounds, standing, timing
+from . import combat, live, places, rounds, selection, standing, timing
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "combat", "live", "rounds", "standing", "timing"]
+__all__ = ["QUERIES", "SQL", "combat", "live", "places", "rounds", "selection", "standing", "timing"]
