@@ -49,9 +49,9 @@ class Index:
         return codes, np.sqrt(((parts - said) ** 2).sum(axis=(1, 2)))
 
     def tables(self, rest: np.ndarray) -> np.ndarray:
-        """(subspaces, queries, codewords): squared distances of queries' residuals to the codewords."""
+        """(subspaces, codewords, queries): squared distances of queries' residuals to the codewords."""
         parts = self.parts(rest)
-        return np.stack([squared(parts[:, s], w) for s, w in enumerate(self.words)])
+        return np.stack([squared(w, parts[:, s]) for s, w in enumerate(self.words)])
 
 
 def fit(sample: np.ndarray, rows: int, list_rows: int, subspaces: int, seed: int = 1) -> Index:
@@ -115,16 +115,19 @@ def _found(queries: pd.DataFrame, rows: pd.DataFrame, ix: Index, dim: int, least
     a, b = queries["class"].to_numpy(np.int64), rows["class"].to_numpy(np.int64)
     size_a, size_b = queries["size"].to_numpy(np.int64), rows["size"].to_numpy(np.int64)
     own = squared(q, ix.coarse).argmin(axis=1) == at
-    limit = (math.sqrt(2.0 - 2.0 * least) + rows["error"].to_numpy() + 1e-6) ** 2
+    # single precision is enough for a threshold that is wide by much more than its error
+    limit = ((math.sqrt(2.0 - 2.0 * least) + rows["error"].to_numpy() + 1e-3) ** 2).astype(np.float32)
+    codes = np.ascontiguousarray(codes.T.astype(np.intp))
     count_a, count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
     edges = []
     for i in range(0, len(q), AT_ONCE):
         part = slice(i, i + AT_ONCE)
-        table = ix.tables(q[part] - centre)
-        distance = np.zeros((table.shape[1], len(rows)))
-        for s in range(len(table)):
-            distance += table[s][:, codes[:, s]]
-        m, n = np.nonzero(distance <= limit)
+        table = ix.tables(q[part] - centre).astype(np.float32)
+        distance = np.take(table[0], codes[0], axis=0, mode="clip")
+        looked = np.empty_like(distance)
+        for t, code in zip(table[1:], codes[1:], strict=True):
+            distance += np.take(t, code, axis=0, out=looked, mode="clip")
+        n, m = np.nonzero(distance <= limit[:, None])
         m += i
         keep = ~own[m] | (a[m] < b[n])  # within a list each pair comes up twice
         m, n = m[keep], n[keep]
