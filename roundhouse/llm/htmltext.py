@@ -29,8 +29,8 @@ OTHER_BLOCKS = frozenset("html body main article section div header footer nav a
 NOT_CONTENT = frozenset("head nav footer aside form script style noscript template svg math iframe object button select textarea title dialog menu audio video canvas map noembed noframes xmp datalist".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 CLASS_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense adslot banner banners sponsor sponsored sponsors promo promos promotion cookie cookies "
-    "consent gdpr notice notices notification notifications alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars rail "
+    "ad ads adv advert adverts advertisement advertising adsense adslot adbox adunit adcontainer adsbygoogle banner banners sponsor sponsored sponsors promo promos promotion cookie cookies "
+    "consent gdpr notice notices disclaimer announcement notification notifications alert popup modal overlay newsletter subscribe subscription signup sidebar sidebars rail "
     "widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist disqus respond replies share "
     "sharing social related recommended recommendations trending toolbar pagination pager login copyright masthead topbar header".split()
 )
