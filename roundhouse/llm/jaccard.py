@@ -361,7 +361,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     prefixes = written(_prefixes(survivors, percent))
 
     pivot = F.min_by(F.struct("class", "n", "place"), F.struct(F.col("alone") / F.col("n"), F.col("class")))
-    stars = prefixes.groupBy("token").agg(pivot.alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1")
+    # What is summed by a hot key is written before it is joined back, so that the planner can split the join.
+    stars = written(prefixes.groupBy("token").agg(pivot.alias("p"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     pivots = stars.select("token", "p.class", "p.n", "p.place")
     tried = written(_pairs(prefixes, pivots, percent))
     links = written(_links(tried, survivors, percent))
@@ -369,6 +370,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     placed = prefixes.join(found, prefixes["class"] == found["node"], "left").select("token", "class", "n", "place", F.coalesce("component", "class").alias("component"))
     placed = written(placed)
     by = placed.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size")).groupBy("token").agg(F.count(F.lit(1)).alias("different"), F.max_by("component", F.struct("size", "component")).alias("largest")).where("different > 1")
+    by = written(by)
     mixed_ = placed.join(by, "token").select(*placed.columns, "largest")
     fewer = mixed_.where("component <> largest").drop("largest")
     across = _pairs(fewer, mixed_.drop("largest"), percent).join(tried, ["a", "b"], "left_anti")
@@ -379,9 +381,9 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     labelled = classed.join(found, classed["shingle_class"] == found["node"], "left").select("key", "n_shingles", "shingle_class", F.coalesce("component", "shingle_class").alias("component"))
     labelled = written(labelled)
-    for done in (classed, survivors, prefixes, tried, links, placed, more, found):
+    for done in (classed, survivors, prefixes, stars, tried, links, placed, by, more, found):
         dropped(done)
-    least = labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("key").alias("least"))
+    least = written(labelled.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("key").alias("least")))
     return labelled.join(least, "component", "left").select(F.col("key").alias(key), "n_shingles", F.when(F.col("component").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id"), "component", "shingle_class")
 
 

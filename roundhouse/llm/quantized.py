@@ -217,7 +217,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     labelled = written(rows.select("key", "class").join(sizes, "class", "left"))
     for done in (rows, classes, lists, probes, found, comps):
         dropped(done)
-    least_key = labelled.where("class is not null").groupBy("component").agg(F.min("key").alias("least"))
+    least_key = written(labelled.where("class is not null").groupBy("component").agg(F.min("key").alias("least")))
     return labelled.join(least_key, "component", "left").select(
         F.col("key").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("class").isNull(), F.col("key")).otherwise(F.col("least")).alias("component_id")
     )
