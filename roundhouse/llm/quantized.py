@@ -68,7 +68,7 @@ def fit(sample: np.ndarray, rows: int, list_rows: int, subspaces: int, seed: int
 
 
 def _placed(classes: DataFrame, index, dim: int, reach: float) -> tuple[DataFrame, DataFrame]:
-    """(list, class, size, vec, codes, error) of every class, and (list, class, size, vec) for each list that it probes.
+    """(list, class, size, vec, codes, error) of every class, and (list, own, class, size, vec) for each list that it probes.
 
     A neighbour within reach can be in another list only if that list's border is within reach; that of lists after the own one
     is looked for, as the neighbour looks for this one.
@@ -97,10 +97,10 @@ def _placed(classes: DataFrame, index, dim: int, reach: float) -> tuple[DataFram
                 near &= np.arange(len(ix.coarse))[None] >= own[:, None]
                 near[np.arange(len(x)), own] = True
                 row, at = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *part.take(pa.array(row)).columns], ["list", "class", "size", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(at == own[row]), *part.take(pa.array(row)).columns], ["list", "own", "class", "size", "vec"])
 
     lists = classes.mapInArrow(placed, "list int, class long, size long, vec binary, codes binary, error double")
-    return lists, classes.mapInArrow(probes, "list int, class long, size long, vec binary")
+    return lists, classes.mapInArrow(probes, "list int, own boolean, class long, size long, vec binary")
 
 
 def _found(queries: pd.DataFrame, rows: pd.DataFrame, ix: Index, dim: int, least: float) -> pd.DataFrame:
@@ -114,7 +114,7 @@ def _found(queries: pd.DataFrame, rows: pd.DataFrame, ix: Index, dim: int, least
     y, q = matrix(list(rows["vec"]), dim), matrix(list(queries["vec"]), dim)
     a, b = queries["class"].to_numpy(np.int64), rows["class"].to_numpy(np.int64)
     size_a, size_b = queries["size"].to_numpy(np.int64), rows["size"].to_numpy(np.int64)
-    own = squared(q, ix.coarse).argmin(axis=1) == at
+    own = queries["own"].to_numpy(bool)
     # single precision is enough for a threshold that is wide by much more than its error
     limit = ((math.sqrt(2.0 - 2.0 * least) + rows["error"].to_numpy() + 1e-3) ** 2).astype(np.float32)
     codes = np.ascontiguousarray(codes.T.astype(np.intp))
@@ -206,7 +206,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     dealt = F.broadcast(written(blocks))
     cell = lambda c: F.pmod(F.xxhash64("class"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = probes.join(dealt, "list").withColumn("qb", cell("query_blocks")).withColumn("rb", each("row_blocks")).select("list", "rb", "qb", "class", "size", "vec")
+    left = probes.join(dealt, "list").withColumn("qb", cell("query_blocks")).withColumn("rb", each("row_blocks")).select("list", "rb", "qb", "own", "class", "size", "vec")
     right = lists.join(dealt, "list").withColumn("rb", cell("row_blocks")).withColumn("qb", each("query_blocks")).select("list", "rb", "qb", "class", "size", "vec", "codes", "error")
     found = left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb")).applyInPandas(lambda q, r: _found(q, r, index.value, dim, least), "a long, b long, links long")
     found = written(found)
