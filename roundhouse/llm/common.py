@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -111,6 +113,13 @@ def parts_of(texts: Sequence[str | None], most: int | None = None) -> Iterator[t
         start = end
 
 
+def release_memory() -> None:
+    """Give memory that a Python worker has freed back to the system: workers outlive their tasks, and several share an executor."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def map_texts(docs: DataFrame, text: str, new: T.StructType, make: Callable[[], Callable[[list[str | None]], list[pa.Array]]], keep_text: bool = True, keep: Sequence[str] | None = None) -> DataFrame:
     """docs with new columns, made from one text column by make()'s function on the executors.
 
@@ -129,6 +138,7 @@ def map_texts(docs: DataFrame, text: str, new: T.StructType, make: Callable[[],
             for start, end in parts_of(texts):
                 rest = batch.slice(start, end - start).select(names)
                 yield pa.RecordBatch.from_arrays([*rest.columns, *work(texts[start:end])], names + new.names)
+        release_memory()
 
     return docs.mapInArrow(run, schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, dropped, map_texts, numbered, parts_of, unit_hash, written
+from .common import bounded_batches, dropped, map_texts, numbered, parts_of, release_memory, unit_hash, written
 from .components import components
 
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3], np.uint64)
@@ -178,6 +178,8 @@ def _shards(docs: DataFrame, text: str, width: int, common, shards: int, bits: i
                     gathered, n = [], 0
         if n:
             yield from send(gathered)
+        del gathered, sent
+        release_memory()
 
     return docs.select(text).mapInArrow(run, "shard int, tokens binary, owners binary, classes binary")
 

@@ -23,7 +23,7 @@ SPACE = "▁"
 REPLACEMENT = "�"
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Chunks whose ids a worker remembers; it forgets all beyond that, so its memory doesn't grow with the vocabulary of the corpus.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 
 
 def _fields(blob: bytes) -> Iterator[tuple[int, bytes | int]]:
