@@ -19,7 +19,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Large stars and small stars take turns: a node's larger neighbours are linked to its least one, then itself and its smaller
     neighbours are; both keep components whole, and the links become stars around least nodes in some log-many rounds. A node may
     have any number of links: the least neighbour is aggregated before the shuffle, and the join back to a hot node can be split.
-    Each round is a written table; whether a node is both a centre and linked to another one is all that the driver asks.
+    Each round is a written table; whether a node is both a centre and linked to another one, or linked to several centres, is all
+    that the driver asks.
     """
     pairs = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v")
     kept = None
@@ -33,6 +34,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             dropped(kept)
         pairs = kept = after
         centres = pairs.select(F.col("v").alias("c")).distinct()
-        if not pairs.join(centres, F.col("u") == F.col("c"), "left_semi").limit(1).count():
+        linked = pairs.join(centres, F.col("u") == F.col("c"), "left_semi").select("u")
+        several = pairs.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+        if not linked.unionByName(several).limit(1).count():
             break
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(pairs.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
