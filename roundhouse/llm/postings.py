@@ -173,20 +173,28 @@ def cells(sizes: dict[int, int], lists: int, most: int) -> tuple[np.ndarray, np.
 
 
 def _best(queries: pd.DataFrame, rows: pd.DataFrame, dim: int, k: int) -> pd.DataFrame:
-    """Of each query the best k rows of a cell, among those of lists that it reads, by inner product, then key."""
+    """Of each query the best k keys of a cell, among rows of lists that it reads, by their best inner product, then key."""
     if not len(queries) or not len(rows):
         return pd.DataFrame({"query": np.zeros(0, np.int64), "key": np.zeros(0, np.int64), "score": np.zeros(0)})
+    rows = rows.sort_values("key", kind="stable")
     y, x = matrix(list(rows["vec"]), dim), matrix(list(queries["vec"]), dim)
     key, query = rows["key"].to_numpy(np.int64), queries["key"].to_numpy(np.int64)
+    starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))  # a key's replicas, and rows that repeat it, stand together
     lists, of = np.unique(rows["list"].to_numpy(np.int64), return_inverse=True)
     reads = np.stack([np.isin(lists, np.frombuffer(r, np.int32)) for r in queries["lists"]])
     out = []
     for i in range(0, len(x), 128):
         near = x[i : i + 128] @ y.T
         near[~reads[i : i + 128][:, of] | (query[i : i + 128][:, None] == key[None])] = -np.inf
-        kth = np.partition(near, -min(k, len(key)), axis=1)[:, -min(k, len(key))]
+        best = near if len(starts) == len(key) else np.maximum.reduceat(near, starts, axis=1)
+        kth = np.partition(best, -min(k, len(starts)), axis=1)[:, -min(k, len(starts))]
         r, c = np.nonzero(near >= np.where(np.isfinite(kth), kth - 1e-9 * np.abs(kth), np.finfo(float).min)[:, None])
         score = (x[i + r] * y[c]).sum(axis=1)  # in the same order of terms everywhere, so that equal vectors tie
+        order = np.lexsort((-score, key[c], r))
+        r, c, score = r[order], c[order], score[order]
+        first = np.ones(len(r), bool)
+        first[1:] = (r[1:] != r[:-1]) | (key[c[1:]] != key[c[:-1]])
+        r, c, score = r[first], c[first], score[first]
         order = np.lexsort((key[c], -score, r))
         r, c, score = r[order], c[order], score[order]
         top = np.arange(len(r)) - np.searchsorted(r, r) < k

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 
+from roundhouse.llm import postings
 from roundhouse.llm.components import components
 
 
@@ -32,3 +34,26 @@ def test_components_of_chains(spark, seed):
     links = [p for p in links if p[0] != p[1]]
     got = components(spark.createDataFrame(links, "a long, b long")).collect()
     assert sorted((r["node"], r["component"]) for r in got) == sorted(least_reached(links).items())
+
+
+def test_nearest_counts_keys_once(spark):
+    """Replicas and rows that repeat a key take one place: with all lists read, the answers are those of brute force."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1200, 4))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, (x[7] * (1.0 + j / 100)).tolist()) for j in range(40)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in postings.nearest(df, df.where("vec_id % 20 = 0"), list_rows=40, border=0.5, share=1.0).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"]))
+    ids, y = np.array([i for i, _ in rows]), np.array([v for _, v in rows])
+    right = 0
+    for q in range(0, 1200, 20):
+        s = y @ x[q]
+        best = {}
+        for i, v in zip(ids.tolist(), s.tolist(), strict=True):
+            if i != q:
+                best[i] = max(best.get(i, -np.inf), v)
+        want = sorted(best, key=lambda i: (-best[i], i))[:20]
+        assert sorted(r for r, _ in got[q]) == list(range(1, 21))
+        right += len(set(want) & {i for _, i in got[q]})
+    assert right >= 0.99 * 20 * 60
