@@ -67,24 +67,14 @@ def fit(sample: np.ndarray, rows: int, list_rows: int, subspaces: int, seed: int
     return index
 
 
-def _placed(classes: DataFrame, index, dim: int, reach: float) -> tuple[DataFrame, DataFrame]:
-    """(list, class, size, vec, codes, error) of every class, and (list, own, class, size, vec) for each list that it probes.
+def _placed(classes: DataFrame, index, dim: int, reach: float) -> DataFrame:
+    """(list, class, size, vec, codes, error, probed) of every class; probed: the lists that it probes, its own included, as int32 bytes.
 
-    A neighbour within reach can be in another list only if that list's border is within reach; that of lists after the own one
-    is looked for, as the neighbour looks for this one.
+    A class probes each list whose border is within reach, before or after its own. The way between two neighbours in different
+    lists crosses the border, so that one of them is within half their distance of it.
     """
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = index.value
-        for b in batches:
-            if not b.num_rows:
-                continue
-            x = matrix(b.column(2).to_pylist(), dim)
-            own = squared(x, ix.coarse).argmin(axis=1)
-            codes, error = ix.coded(x - ix.coarse[own])
-            yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), b.column(0), b.column(1), b.column(2), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)], ["list", "class", "size", "vec", "codes", "error"])
-
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
         apart = np.sqrt(squared(ix.coarse, ix.coarse))
         for b in batches:
@@ -93,14 +83,27 @@ def _placed(classes: DataFrame, index, dim: int, reach: float) -> tuple[DataFram
                 x = matrix(part.column(2).to_pylist(), dim)
                 d = squared(x, ix.coarse)
                 own = d.argmin(axis=1)
-                near = d - d[np.arange(len(x)), own][:, None] <= 2.0 * reach * apart[own]
-                near &= np.arange(len(ix.coarse))[None] >= own[:, None]
+                codes, error = ix.coded(x - ix.coarse[own])
+                near = d - d[np.arange(len(x)), own][:, None] <= 2.0 * reach * apart[own] + 1e-9  # more than rounding can take away
                 near[np.arange(len(x)), own] = True
-                row, at = np.nonzero(near)
-                yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(at == own[row]), *part.take(pa.array(row)).columns], ["list", "own", "class", "size", "vec"])
+                probed = [np.flatnonzero(n).astype(np.int32).tobytes() for n in near]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probed, pa.binary())], ["list", "class", "size", "vec", "codes", "error", "probed"])
+
+    return classes.mapInArrow(placed, "list int, class long, size long, vec binary, codes binary, error double, probed binary")
+
+
+def _probes(lists: DataFrame) -> DataFrame:
+    """(list, home, class, size, vec) for each list that a class probes; home is its own list."""
+
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                at = [np.frombuffer(p, np.int32) for p in part.column(4).to_pylist()]
+                row = np.repeat(np.arange(len(at)), [len(p) for p in at])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), *part.take(pa.array(row)).columns[:4]], ["list", "home", "class", "size", "vec"])
 
-    lists = classes.mapInArrow(placed, "list int, class long, size long, vec binary, codes binary, error double")
-    return lists, classes.mapInArrow(probes, "list int, own boolean, class long, size long, vec binary")
+    return lists.select(F.col("list").alias("home"), "class", "size", "vec", "probed").mapInArrow(probes, "list int, home int, class long, size long, vec binary")
 
 
 def _found(queries: pd.DataFrame, rows: pd.DataFrame, ix: Index, dim: int, least: float) -> pd.DataFrame:
@@ -114,7 +117,9 @@ def _found(queries: pd.DataFrame, rows: pd.DataFrame, ix: Index, dim: int, least
     y, q = matrix(list(rows["vec"]), dim), matrix(list(queries["vec"]), dim)
     a, b = queries["class"].to_numpy(np.int64), rows["class"].to_numpy(np.int64)
     size_a, size_b = queries["size"].to_numpy(np.int64), rows["size"].to_numpy(np.int64)
-    own = queries["own"].to_numpy(bool)
+    home = queries["home"].to_numpy(np.int64)
+    probed = [np.frombuffer(p, np.int32) for p in rows["probed"]]
+    probed = np.repeat(np.arange(len(rows)), [len(p) for p in probed]) * len(ix.coarse) + np.concatenate(probed)  # ascending: row, then list
     # single precision is enough for a threshold that is wide by much more than its error
     limit = ((math.sqrt(2.0 - 2.0 * least) + rows["error"].to_numpy() + 1e-3) ** 2).astype(np.float32)
     codes = np.ascontiguousarray(codes.T.astype(np.intp))
@@ -129,7 +134,10 @@ def _found(queries: pd.DataFrame, rows: pd.DataFrame, ix: Index, dim: int, least
             distance += np.take(t, code, axis=0, out=looked, mode="clip")
         n, m = np.nonzero(distance <= limit[:, None])
         m += i
-        keep = ~own[m] | (a[m] < b[n])  # within a list each pair comes up twice
+        # A pair comes up twice within a list, and if both probe the other's; then the class of the list before counts it.
+        wanted = n * len(ix.coarse) + home[m]
+        both = probed[np.minimum(np.searchsorted(probed, wanted), len(probed) - 1)] == wanted
+        keep = np.where(home[m] == at, a[m] < b[n], (home[m] < at) | ~both)
         m, n = m[keep], n[keep]
         close = np.concatenate([(q[m[j : j + 65536]] * y[n[j : j + 65536]]).sum(axis=1) for j in range(0, len(m), 65536)]) >= least if len(m) else np.zeros(0, bool)
         m, n = m[close], n[close]
@@ -162,10 +170,10 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     Vectors that are null, zero, hold null or non-finite components, or are of another length than most link with nothing. Rows
     that repeat a key stay rows of their own. An empty table gives no rows.
 
-    Every pair that is compared is decided exactly, and all rows of a probed list are compared. margin says how much of the
-    distance of such a neighbour may lie in the direction of another list's centre: 1 probes every list that could hold one; 0.5
-    misses those that lie more than half of it in that one direction, which in tens of dimensions next to none do. The index is
-    fitted on about fit_vectors vectors by hash, and holds all.
+    Every pair that is compared is decided exactly, and all rows of a probed list are compared. margin says within how much of
+    such a neighbour's distance a list's border is probed, from both sides: from 0.5 on no pair is lost, as one of the two is at
+    most half their distance from the border between them. Less can lose pairs. The index is fitted on about fit_vectors vectors
+    by hash, and holds all.
     """
     spark = df.sparkSession
     bounded_batches(spark)
@@ -198,16 +206,16 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
         sample = classes.orderBy("class").limit(1).select("vec").collect()
     index = spark.sparkContext.broadcast(fit(matrix([bytes(r["vec"]) for r in sample], dim), n, list_rows, subspaces))
     reach = margin * math.sqrt(2.0 - 2.0 * least)
-    lists, probes = _placed(classes, index, dim, reach)
-    lists, probes = written(lists), written(probes)
+    lists = written(_placed(classes, index, dim, reach))
+    probes = written(_probes(lists))
 
     # A list's rows and queries are dealt to blocks; there are as many lists as the fitted index has, whatever the rows.
     blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks")).join(probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks")), "list")
     dealt = F.broadcast(written(blocks))
     cell = lambda c: F.pmod(F.xxhash64("class"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = probes.join(dealt, "list").withColumn("qb", cell("query_blocks")).withColumn("rb", each("row_blocks")).select("list", "rb", "qb", "own", "class", "size", "vec")
-    right = lists.join(dealt, "list").withColumn("rb", cell("row_blocks")).withColumn("qb", each("query_blocks")).select("list", "rb", "qb", "class", "size", "vec", "codes", "error")
+    left = probes.join(dealt, "list").withColumn("qb", cell("query_blocks")).withColumn("rb", each("row_blocks")).select("list", "rb", "qb", "home", "class", "size", "vec")
+    right = lists.join(dealt, "list").withColumn("rb", cell("row_blocks")).withColumn("qb", each("query_blocks")).select("list", "rb", "qb", "class", "size", "vec", "codes", "error", "probed")
     found = left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb")).applyInPandas(lambda q, r: _found(q, r, index.value, dim, least), "a long, b long, links long")
     found = written(found)
     counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))

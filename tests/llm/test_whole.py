@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from roundhouse.llm import postings
+from roundhouse.llm import postings, quantized
 from roundhouse.llm.components import components
 
 
@@ -57,3 +57,14 @@ def test_nearest_counts_keys_once(spark):
         assert sorted(r for r, _ in got[q]) == list(range(1, 21))
         right += len(set(want) & {i for _, i in got[q]})
     assert right >= 0.99 * 20 * 60
+
+
+def test_near_duplicates_across_borders(spark):
+    """The default margin loses no pair in few dimensions, where most pairs lie across borders, and counts each once."""
+    x = np.random.default_rng(6).normal(size=(1500, 5))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantized.near_duplicates(df, list_rows=40).collect()}
+    close = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
+    least = least_reached([*np.argwhere(close).tolist(), *((i, i) for i in range(len(x)))])
+    assert got == {i: (int(close[i].sum()), least[i]) for i in range(len(x))}
