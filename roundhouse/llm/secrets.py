@@ -1,7 +1,9 @@
 """Secret scans: fixed patterns, and the guess cost of values in credential contexts.
 
 A value that follows a credential's name is cut into words, dates, repeats, keyboard walks and brute-force spans so that the
-guesses multiply to the least; a value that takes many guesses even so is a secret. Spans are in code points, end exclusive.
+guesses multiply to the least; a value that takes many guesses even so is a secret, and nothing but the guesses decides. A word
+takes as many as its rank: those of the corpus are ranked by how often they come, outside of such values. Spans are in code
+points, end exclusive.
 """
 
 from __future__ import annotations
@@ -31,8 +33,10 @@ HEX_RUN = re.compile(r"[0-9a-f]{16,}")
 CONTEXT_NAMES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
 CONTEXT = re.compile(
     rf"""(?<![A-Za-z])(?:{_either("pass(?:word|wd|phrase|code)?|pwd|secret|token|bearer|auth(?:orization)?|credentials?|(?:api|access|private|secret)[_-]?key")})"""
-    rf"""["']?\x20*(?::=|=>|[:=]|\x20{_either("is")}\x20)\x20*(?:"([^"\n]+)"|'([^'\n]+)'|([^\x20\x09-\x0D"'<>,;]+))"""
+    rf"""["']?\x20*(?::=|=>|[:=]|\x20{_either("is")}\x20)\x20*(?:(?:{_either("bearer|basic|digest")})\x20+)?(?:"([^"\n]+)"|'([^'\n]+)'|([^\x20\x09-\x0D"'<>,;]+))"""
 )
+#: Words of the corpus that are ranked: the most frequent ones.
+RANKED = 30_000
 
 #: Guesses (log10) from which a value in a credential context is a secret.
 MIN_GUESSES = 12.0
@@ -67,6 +71,22 @@ def _neighbours() -> dict[str, set[str]]:
 
 NEIGHBOURS = _neighbours()
 RANKS = {w: math.log10(i + 2) for i, w in reversed(list(enumerate(WORDS)))}
+#: log10 of the guesses that a space between words takes: one way or another of setting them apart.
+SPACE = 0.3
+
+
+def ranks(docs: DataFrame, text: str = "text", most: int = RANKED) -> dict[str, float]:
+    """log10 of the ranks of the most frequent words (3 to 24 letters, in lower case) of all texts, values in credential contexts left out.
+
+    Words that are counted once are none; the fixed words keep their ranks where these are better. Words are counted on the
+    executors, with partial sums; the bounded list of most words is all that comes to the driver.
+    """
+    clear = F.regexp_replace(F.lower(text), CONTEXT.pattern, " ")
+    words = docs.select(F.explode(F.regexp_extract_all(clear, F.lit(r"(\p{L}{3,})"), F.lit(1))).alias("word")).where(F.length("word") <= 24)
+    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    found = counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    out = {r["word"]: math.log10(i + 2) for i, r in enumerate(found)}
+    return out | {w: min(g, out.get(w, g)) for w, g in RANKS.items()}
 
 
 def brute(c: str) -> float:
@@ -99,6 +119,8 @@ class GuessCost:
         end, turns = walks[at]
         if end - at >= 4:
             yield end, math.log10(47 * (end - at)) + 0.6 * turns, "walk"
+        if value[at] == " " and 0 < at < n - 1:
+            yield at + 1, SPACE, "space"
         if steps[at] - at >= 4:
             yield steps[at], math.log10(26 * (steps[at] - at)), "walk"
 
@@ -146,7 +168,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def guess_spans(text: str, cost: GuessCost, min_guesses: float) -> list[tuple[int, int, str]]:
-    """Values in credential contexts that take many guesses. A bare value of letters only is prose, and none."""
+    """Values in credential contexts that take many guesses. A scheme's name before the value (bearer, basic) and what closes a sentence after a bare one aren't of it."""
     low = text.lower()
     if not any(x in low for x in CONTEXT_NAMES):
         return []
@@ -156,10 +178,6 @@ def guess_spans(text: str, cost: GuessCost, min_guesses: float) -> list[tuple[in
         if m.lastindex == 3:
             while end > start and text[end - 1] in ".!?)]}:":
                 end -= 1
-            if all(c.isalpha() or c in "-_'./" for c in text[start:end]):
-                continue
-        elif " " in text[start:end]:
-            continue
         if end > start and cost.best(text[start:end])[0] >= min_guesses:
             out.append((start, end, GUESS))
     return out
@@ -180,22 +198,26 @@ SPANS = T.StructType([T.StructField("secret_spans", T.ArrayType(T.StructType([T.
 _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def scan(docs: DataFrame, text: str = "text", min_guesses: float = MIN_GUESSES, words: dict[str, float] = RANKS, keep_text: bool = True) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", min_guesses: float = MIN_GUESSES, words: dict[str, float] | None = None, keep_text: bool = True) -> DataFrame:
     """docs with secret_spans: an array of (kind, start, end), by start, then kind; empty for null, empty and clean texts.
 
-    Every whole text is scanned. Other columns pass through; a column of the new name is replaced.
+    Every whole text is scanned. words: log10 of the ranks of words; without them, those of docs are counted. All rows stay,
+    repeated ones and those of null keys too; other columns pass through, and a column of the new name is replaced. An empty
+    table gives no rows.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(docs, text) if words is None else words)
 
     def make():
-        cost = GuessCost(words)
+        cost = GuessCost(shared.value)
         return lambda texts: [pa.array([[{"kind": k, "start": s, "end": e} for s, e, k in all_spans(t, cost, min_guesses)] if t else [] for t in texts], _ARROW)]
 
     return map_texts(docs, text, SPANS, make, keep_text)
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", min_guesses: float = MIN_GUESSES, words: dict[str, float] = RANKS) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", min_guesses: float = MIN_GUESSES, words: dict[str, float] | None = None) -> DataFrame:
     """docs with each secret in the text replaced by a mark (overlapping spans by one); all rows and columns stay, null texts too."""
     new = T.StructType([T.StructField("secret_free", T.StringType())])
+    shared = docs.sparkSession.sparkContext.broadcast(ranks(docs, text) if words is None else words)
 
     def cleaned(t: str | None, cost: GuessCost) -> str | None:
         if not t or not (spans := all_spans(t, cost, min_guesses)):
@@ -208,7 +230,7 @@ def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]", min_gues
         return "".join([*out, t[at:]])
 
     def make():
-        cost = GuessCost(words)
+        cost = GuessCost(shared.value)
         return lambda texts: [pa.array([cleaned(t, cost) for t in texts], pa.string())]
 
     done = map_texts(docs, text, new, make, keep_text=False)

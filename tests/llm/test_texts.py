@@ -166,7 +166,14 @@ def test_guess_cost_is_least():
 def test_guessed_secrets(spark, odd, empty):
     kinds = lambda t: [k for _, _, k in secrets.all_spans(t, secrets.GuessCost())]
     assert kinds('pwd: "x9$Kq2!vLpQz7"') == ["guess"]
-    assert kinds("password is responsibility") == kinds("the token bucket is large") == kinds("password: aaaaaaaaaaaaaaaa1!"[:20]) == []
+    assert kinds("the token bucket is large") == kinds("password: aaaaaaaaaaaaaaaa1!"[:20]) == kinds("password: 'please enter your password here'") == []
+    assert kinds("password: kjqzwvxplm") == kinds("passphrase = 'correct horse battery staple'") == kinds("Authorization: Bearer x9$Kq2!vLpQz7") == ["guess"]
+    prose = spark.createDataFrame([(i, f"the word responsibility, number {i}; password is responsibility. pwd: kjqzwvxplm") for i in range(3)], "doc_id long, text string")
+    words = secrets.ranks(prose)
+    assert words["responsibility"] < 2 and "kjqzwvxplm" not in words and "word" in words
+    at = lambda w: [[(s["kind"], s["start"]) for s in r["secret_spans"]] for r in secrets.scan(prose, words=w).orderBy("doc_id").collect()]
+    assert at(None) == [[("guess", 68)]] * 3 and at(secrets.RANKS) == [[("guess", 47), ("guess", 68)]] * 3
+    assert secrets.ranks(empty) == secrets.RANKS
     assert secrets.scan(odd).count() == odd.count() and secrets.scan(empty).count() == 0
     clean = secrets.redact(spark.createDataFrame([(1, HIDDEN[1]), (2, None), (3, "no secrets")], "doc_id long, text string"))
     assert [r["text"] for r in clean.orderBy("doc_id").collect()] == ["é [secret]' x", None, "no secrets"]
