@@ -106,7 +106,10 @@ def least_own(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _common(docs: DataFrame, text: str, key: str, width: int, rows: int) -> np.ndarray:
-    """Sorted tokens that are in a large share of documents, by a look at some; they are the last ones in the order."""
+    """Sorted tokens that are in a large share of documents, by a look at some; they take a way of their own and are last in the order.
+
+    Which ones do changes no result. Their places among each other go by their counts in all sets, see _ranked.
+    """
     some = docs.where(unit_hash(F.col(key), "common") < min(1.0, LOOKED_OVER / max(1, rows))).select(F.col(text).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,6 +124,26 @@ def _common(docs: DataFrame, text: str, key: str, width: int, rows: int) -> np.n
     return np.sort(found.view(np.uint64))
 
 
+def _ranked(classes: DataFrame, cut: int) -> tuple[np.ndarray, np.ndarray]:
+    """The common tokens, cut and sorted, and the rank of each by the number of all classes that have it, rare ones first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in batches:
+            own = [np.unique(np.frombuffer(x, "<u8") >> np.uint64(cut)) for x in b.column(0).to_pylist() if x]
+            h, at = np.unique(np.concatenate([h, *own]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, *(np.ones(len(x), np.int64) for x in own)]), len(h)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+
+    found = classes.select("common").mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).toPandas()
+    h, n = found["h"].to_numpy(np.int64).view(np.uint64), found["n"].to_numpy(np.int64)
+    order = np.lexsort((h, n))
+    rank = np.empty(len(h), np.uint32)
+    rank[order] = np.arange(len(h))
+    by = np.argsort(h)
+    return h[by], rank[by]
+
+
 def _within(common: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     if not len(common):
         return np.zeros(len(tokens), bool)
@@ -217,7 +240,7 @@ def _shared(shards: DataFrame, size: int, buckets: int) -> DataFrame:
     return shards.groupBy("shard").applyInPandas(count, "bucket long, classes binary, tokens binary, counts binary")
 
 
-def _survivors(classes: DataFrame, shared: DataFrame, percent: int, buckets: int, cut: int) -> DataFrame:
+def _survivors(classes: DataFrame, shared: DataFrame, percent: int, buckets: int, cut: int, ranked) -> DataFrame:
     """(class, n, alone, tokens, signature) of the classes with enough shared tokens to link; tokens in order, rare ones first.
 
     alone: its tokens that no other class has, which come before those.
@@ -226,13 +249,14 @@ def _survivors(classes: DataFrame, shared: DataFrame, percent: int, buckets: int
     def gather(own: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         owners = [np.frombuffer(x, np.int64) for x in parts["classes"]]
         tokens = [np.frombuffer(x, np.uint64) for x in parts["tokens"]]
-        counts = [np.frombuffer(x, "<u2") for x in parts["counts"]]
+        counts = [np.frombuffer(x, "<u2").astype(np.uint32) for x in parts["counts"]]
+        known, rank = ranked.value
         for c, blob in zip(own["class"], own["common"], strict=True):
             if len(blob):
                 hot = np.unique(np.frombuffer(blob, "<u8") >> np.uint64(cut))
                 tokens.append(hot)
                 owners.append(np.full(len(hot), c, np.int64))
-                counts.append(np.full(len(hot), HOT, np.uint16))
+                counts.append(np.uint32(HOT) + rank[np.searchsorted(known, hot)])
         rows = []
         if owners:
             owners, tokens, counts = np.concatenate(owners), np.concatenate(tokens), np.concatenate(counts)
@@ -275,9 +299,18 @@ def _may_link(n: Column, m: Column, i: Column, j: Column, percent: int) -> Colum
     return similar & ((100 + percent) * F.least(n - i, m - j) >= percent * (n + m))
 
 
-def _pairs(left: DataFrame, right: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs (a, b) of classes, a below b, from rows of both sides with the same token."""
-    joined = left.alias("x").join(right.alias("y"), F.col("x.token") == F.col("y.token"))
+def _pairs(left: DataFrame, right: DataFrame, percent: int, by_size: bool = False) -> DataFrame:
+    """Distinct pairs (a, b) of classes, a below b, from rows of both sides with the same token.
+
+    by_size: sizes are part of the key, as steps of the ratio that two similar sets' sizes have at most; left rows go to their
+    step and both beside it, so that a token's sets of other sizes never meet.
+    """
+    same = F.col("x.token") == F.col("y.token")
+    if by_size:
+        step = F.floor(F.log("n") / (math.log(100 / percent) + 1e-6))  # a little longer, so that rounding parts no two
+        left = left.withColumn("step", F.explode(F.array(step - 1, step, step + 1)))
+        right, same = right.withColumn("step", step), same & (F.col("x.step") == F.col("y.step"))
+    joined = left.alias("x").join(right.alias("y"), same)
     ok = (F.col("x.class") != F.col("y.class")) & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place"), percent)
     if "component" in left.columns and "component" in right.columns:
         ok &= F.col("x.component") != F.col("y.component")
@@ -324,8 +357,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     """(key, n_shingles, component_id, component, shingle_class) of each row: sets of width-word shingles link if their Jaccard similarity is percent / 100 or more.
 
     component_id is the least key that links reach, the row's own included; component is a 64-bit key of the same, and
-    shingle_class one of the row's set. Null and
-    empty texts, and texts without words, have no shingles, link with nothing and have their own key and a null component. Rows
+    shingle_class one of the row's set. Links within a component that aren't needed to tell it are not looked for. Null and empty texts, and texts without words, have no shingles, link with nothing and have their own key and a null component. Rows
     that repeat a key stay rows of their own; null keys are never the least, unless there are no others. An empty table gives
     no rows.
     """
@@ -359,7 +391,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     size = -(-(1 << bits) // parts)
 
     shards = _shards(docs, "text", width, common, parts, bits).repartition(parts, "shard")
-    survivors = written(_survivors(classes, _shared(shards, size, parts), percent, parts, cut))
+    ranked = spark.sparkContext.broadcast(_ranked(classes, cut))
+    survivors = written(_survivors(classes, _shared(shards, size, parts), percent, parts, cut, ranked))
     prefixes = written(_prefixes(survivors, percent))
 
     pivot = F.min_by(F.struct("class", "n", "place"), F.struct(F.col("alone") / F.col("n"), F.col("class")))
@@ -375,7 +408,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     by = written(by)
     mixed_ = placed.join(by, "token").select(*placed.columns, "largest")
     fewer = mixed_.where("component <> largest").drop("largest")
-    across = _pairs(fewer, mixed_.drop("largest"), percent).join(tried, ["a", "b"], "left_anti")
+    across = _pairs(fewer, mixed_.drop("largest"), percent, percent < 100).join(tried, ["a", "b"], "left_anti")
     more = written(_links(written(across), survivors, percent))
     if more.limit(1).count():
         dropped(found)
