@@ -8,6 +8,7 @@ import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -315,14 +316,70 @@ def test_descent_finds_the_optimum():
     assert np.abs(gradient).max() < 1e-3 and abs(b - 2.0 * (sign * slack).sum()) < 1e-3
 
 
+def kneser_ney(texts, y, order):
+    """The likelihood p(class, context, character) by the definition, with counters."""
+    counts = [Counter(w for t, c in zip(texts, y, strict=True) if c == k for w in set(re.findall(r"\w+", t))) for k in (1, 0)]
+    words = sorted(set(counts[0]) | set(counts[1]))
+    padded = {w: f"\x02{w}\x03" for w in words}
+    every = {w[i - k : i] for w in padded.values() for i in range(1, len(w) + 1) for k in range(1, min(i, order) + 1)}
+    alphabet = {c for w in padded.values() for c in w}
+    discount = lambda ns: min(0.95, max(0.1, (ns.count(1) / max(1.0, ns.count(1) + 2.0 * ns.count(2)))))
+    shared = {k: Counter(g[1:] for g in every if len(g) == k + 1) for k in range(1, order)}
+    d = {k: discount(list(shared[k].values())) for k in shared}
+
+    def backed(context, c):
+        k = len(context) + 1
+        lower = backed(context[1:], c) if context else 1.0 / len(alphabet)
+        after = {g: n for g, n in shared[k].items() if g[:-1] == context}
+        total = sum(after.values())
+        return max(after.get(context + c, 0) - d[k], 0.0) / total + d[k] * len(after) / total * lower if total else lower
+
+    own = [Counter(), Counter()]
+    for k in (0, 1):
+        for w, p in padded.items():
+            for i in range(1, len(p)):
+                own[k][p[max(0, i + 1 - order) : i + 1]] += counts[k][w]
+    cut = {(k, n): discount([own[k][g] for g in own[k] if len(g) == n]) for k in (0, 1) for n in range(2, order + 1)}
+
+    def p(k, context, c):
+        after = {g: n for g, n in own[k].items() if g[:-1] == context and n}
+        total = sum(after.values())
+        lower = backed(context[1:], c)
+        e = cut[k, len(context) + 1]
+        return max(after.get(context + c, 0) - e, 0.0) / total + e * len(after) / total * lower if total else lower
+
+    return p, words, alphabet, {g[:-1] for g in own[0] | own[1]}
+
+
 def test_kneser_ney_sums_to_one():
-    """Of each class, the likelihoods of all characters after a context sum up to one."""
-    m = toxicity.train(["idiot idea ideal", "idol the then", "there idea"], np.array([1, 0, 0]), 3)
-    ratio = dict(zip(["idiot", "the"], m.word_ratios(["idiot", "the"]), strict=True))
-    assert ratio["idiot"] > 0 > ratio["the"]
+    """Of each class, the likelihoods of all characters after a context sum up to one, and words' ratios are those by the definition."""
+    texts, y, order = ["idiot idea ideal idle", "idol the then ideal", "there idea these", "idiot the"], np.array([1, 0, 0, 1]), 4
+    p, words, alphabet, contexts = kneser_ney(texts, y, order)
+    for k in (0, 1):
+        for context in contexts:
+            assert sum(p(k, context, c) for c in alphabet) == pytest.approx(1.0)
+    m = toxicity.train(texts, y, order)
+    for w, got in zip(words, m.word_ratios(words), strict=True):
+        padded = f"\x02{w}\x03"
+        want = sum(math.log(p(0, padded[max(0, i + 1 - order) : i], padded[i]) / p(1, padded[max(0, i + 1 - order) : i], padded[i])) for i in range(1, len(padded)))
+        assert got == pytest.approx(want)
+    ratio = dict(zip(words, m.word_ratios(words), strict=True))
+    assert ratio["idiot"] > 0 > ratio["there"]
     assert m.word_ratios([]).shape == (0,) and np.isfinite(m.word_ratios(["zzzz", "é"])).all()
 
 
+def test_toxicity_counts_the_whole_text(spark):
+    """Order and repetition change nothing but by the words themselves; more of an expression is more evidence; equal texts score alike."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(4))
+    texts = [" ".join([word() for _ in range(30)] + ["zoxtrid"] * (i % 2)) for i in range(200)]
+    m = toxicity.fit_texts(texts, np.arange(200) % 2, np.ones(200), np.arange(200) // 2 % 3)
+    plain = " ".join(word() for _ in range(300))
+    df = spark.createDataFrame([(0, plain), (1, plain + " zoxtrid"), (2, plain + " zoxtrid" * 5), (3, plain), (4, "zoxtrid " * 200_000)], "doc_id long, text string").withColumn("toxic_score", F.lit(5))
+    got = {r["doc_id"]: r["toxic_score"] for r in toxicity.score(df, m).collect()}
+    assert got[0] == got[3] < got[1] < got[2] and got[4] > 0.5
+
+
 # ---- pages
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><a href=/>Home</a></header>
