@@ -2,7 +2,8 @@
 
 A page is a sequence of words and tags. A word scores positive, more so in surroundings that are content on labelled pages; a tag
 scores negative, more so if it is seldom within content there. A linear scan finds the contiguous region of the highest score; it
-is widened to the element that holds it, and what belongs to menus, adverts, forms, comments and the like is left out.
+is widened to the element that holds it. Names of classes have no part in that: they only tell what is left out of the region
+(adverts, notices, comments within it), and have the scan repeated without what they mark if that is most of the region.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, map_texts
+from .common import bounded_batches, map_texts, unit_hash
 
 # HTML's elements by how their text counts.
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -68,7 +69,8 @@ class Weights:
 @dataclass
 class Node:
     name: str
-    out: bool  # left out, itself or by what holds it
+    out: bool  # no content by its element, itself or by what holds it
+    marked: bool  # no content by the words of its class or id, itself or by what holds it
     link: bool
     block: str
     parent: Node | None
@@ -85,7 +87,7 @@ class Token:
 
 
 def left_out(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element isn't content, by its name, role, class and id; inside: within an article or the main element."""
+    """Whether an element isn't content, by its name, role and what hides it; inside: within an article or the main element."""
     if name in NOT_CONTENT:
         return True
     if name == "header":
@@ -100,7 +102,16 @@ def left_out(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key == "role" and value.lower() in ROLES:
             return True
-        if key in ("class", "id"):
+    return False
+
+
+def marked_out(name: str, attributes: str, inside: bool) -> bool:
+    """Whether the words of an element's class or id say that it isn't content."""
+    if not attributes or name in ("html", "body", "main"):
+        return False
+    for key, value in ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            value = value.strip("\"'")
             for own in value.split():
                 parts = [p.lower() for p in PARTS.findall(own)]
                 for before, p in zip([""] + parts, parts, strict=False):
@@ -109,9 +120,9 @@ def left_out(name: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def tokens(page: str, classes: bool = True) -> list[Token]:
+def tokens(page: str, attributes_count: bool = True) -> list[Token]:
     """Texts and tags in page order. Comments, scripts and tags that the page's end cuts off are none."""
-    root = Node("", False, False, "", None)
+    root = Node("", False, False, False, "", None)
     top, open_, out, at = root, defaultdict(int), [], 0
 
     def close(until: Node) -> None:
@@ -168,7 +179,9 @@ def tokens(page: str, classes: bool = True) -> list[Token]:
             close(p.parent)
         if name in SIBLINGS and (other := nearest(SIBLINGS[name], HOLDERS[name])):
             close(other.parent)
-        node = Node(name, top.out or (left_out(name, attributes, bool(open_["article"] or open_["main"])) if classes else name in NOT_CONTENT), top.link or name == "a", name if name in TEXT_BLOCKS or name in OTHER_BLOCKS else top.block, top, len(out))
+        inside = bool(open_["article"] or open_["main"])
+        out_ = top.out or (left_out(name, attributes, inside) if attributes_count else name in NOT_CONTENT)
+        node = Node(name, out_, top.marked or (attributes_count and marked_out(name, attributes, inside)), top.link or name == "a", name if name in TEXT_BLOCKS or name in OTHER_BLOCKS else top.block, top, len(out))
         out.append(Token(None, name, top if name in VOID else node))
         if name not in VOID and not attributes.endswith("/"):
             top = node
@@ -190,8 +203,8 @@ def best_region(scores: list[float]) -> tuple[int, int]:
     return region
 
 
-def _scores(page: list[Token], weights: Weights) -> list[float]:
-    return [0.0 if t.node.out else t.words * weights.word(t.node.block, t.node.link) if t.text is not None else weights.tag(t.name) for t in page]
+def _scores(page: list[Token], weights: Weights, marks: bool) -> list[float]:
+    return [0.0 if t.node.out or marks and t.node.marked else t.words * weights.word(t.node.block, t.node.link) if t.text is not None else weights.tag(t.name) for t in page]
 
 
 def _container(page: list[Token], start: int, end: int) -> Node:
@@ -220,23 +233,26 @@ def extract(page: str | None, weights: Weights) -> str:
     """The main text: blocks in page order, joined by line feeds, each with its white space made one space. Empty if there is none."""
     if not page:
         return ""
-    for classes in (True, False):  # if the names of classes leave nothing, they mislead
-        found = tokens(page, classes)
-        start, end = best_region(_scores(found, weights))
-        if start < end:
-            break
-    else:
+    found, drop = tokens(page), True
+    start, end = best_region(_scores(found, weights, False))
+    words = lambda marked: sum(t.words for t in found[start:end] if t.text is not None and not t.node.out and t.node.marked == marked)
+    if words(True) > words(False):
+        start, end = best_region(_scores(found, weights, True))
+    if start >= end:  # names that leave nothing mislead
+        found, drop = tokens(page, False), False
+        start, end = best_region(_scores(found, weights, False))
+    if start >= end:
         return ""
     start, end = _widened(found, start, end)
     blocks, parts = [], []
     for t in found[start:end]:
         if t.text is None:
-            if t.name == "br" and not t.node.out:
+            if t.name == "br" and not (t.node.out or drop and t.node.marked):
                 parts.append(" ")
             elif t.name not in INLINE:
                 blocks.append("".join(parts))
                 parts = []
-        elif not t.node.out:
+        elif not (t.node.out or drop and t.node.marked):
             parts.append(t.text)
     blocks.append("".join(parts))
     return "\n".join(x for b in blocks if (x := " ".join(b.split())))
@@ -266,7 +282,7 @@ def counted(page: str) -> dict[tuple[str, str, bool], list[int]]:
             key = ("word", t.node.block, t.node.link) if t.text is not None else ("tag", t.name, False)
             count = out.setdefault(key, [0, 0])
             count[0] += n
-            count[1] += n * (not t.node.out and within(t.node) and t.name not in ("article", "main"))
+            count[1] += n * (not t.node.out and not t.node.marked and within(t.node) and t.name not in ("article", "main"))
     return out
 
 
@@ -277,14 +293,14 @@ KNOWN = INLINE | TEXT_BLOCKS | OTHER_BLOCKS | NOT_CONTENT | VOID | {""}
 def fit(pages: DataFrame, key: str = "page_id", page: str = "html", fit_pages: int = 2000) -> Weights:
     """Weights from the labelled pages, which mark their content as an article or main element, among fit_pages pages.
 
-    These are the pages of the smallest hashes of their keys: a fixed number, however many there are. Counts are of HTML's own
-    elements only, so that what comes to the driver stays as small. Without labelled pages the weights are those set above.
+    These are the pages whose key's hash is below a threshold, which is counted so that there are about as many, however large the
+    table; pages without a key aren't among them. Counts are of HTML's own elements only, so that what comes to the driver stays
+    as small. Without labelled pages the weights are those set above.
     """
     spark = pages.sparkSession
     bounded_batches(spark)
-    chosen = pages.where(F.col(key).isNotNull()).select(F.col(key).alias("at_key")).orderBy(F.xxhash64("at_key"), "at_key").limit(fit_pages)
-    keys = spark.createDataFrame([(r["at_key"],) for r in chosen.collect()], chosen.schema)
-    some = pages.select(F.col(key).alias("key"), F.col(page).alias("page")).join(F.broadcast(keys.distinct()), F.col("key") == F.col("at_key")).select("page")
+    rows = pages.where(F.col(key).isNotNull()).count()
+    some = pages.where(F.col(key).isNotNull() & (unit_hash(F.col(key), "pages") < min(1.0, fit_pages / max(1, rows)))).select(F.col(page).alias("page"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[tuple[str, str, bool], list[int]] = {}
@@ -311,7 +327,11 @@ TEXT = T.StructType([T.StructField("main_text", T.StringType())])
 
 
 def main_text(pages: DataFrame, weights: Weights, page: str = "html", keep_page: bool = True) -> DataFrame:
-    """pages with main_text; empty for null and empty pages and those without content. Whole pages count; other columns pass through."""
+    """pages with main_text; empty for null and empty pages and those without content. Whole pages count.
+
+    All rows stay, repeated ones and those of null keys too; other columns pass through, and one of the new name is replaced. An
+    empty table gives no rows.
+    """
 
     def make():
         return lambda texts: [pa.array([extract(t, weights) for t in texts], pa.string())]

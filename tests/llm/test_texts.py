@@ -398,6 +398,19 @@ def test_main_text(spark):
     assert htmltext.extract("plain text &amp; more of it", htmltext.Weights()) == "plain text & more of it"
 
 
+def test_region_goes_without_class_names(spark, middle):
+    """On the tables the scan finds the same without a word of classes; within a region these still count."""
+    w = htmltext.fit(table(spark, middle, "pages"))
+    for r in table(spark, middle, "pages").limit(60).collect():
+        assert htmltext.extract(re.sub(r'class="ad"', 'class="x"', r["html"]), w) == htmltext.extract(r["html"], w)
+    prose = "".join(f"<p>Paragraph number {i} of the article has a few words to read.</p>" for i in range(6))
+    page = f"<body><nav>a b c</nav><div class=story>{prose}<div class=advert>Buy this</div>{prose}</div></body>"
+    assert htmltext.extract(page, w).split("\n") == [f"Paragraph number {i} of the article has a few words to read." for i in (*range(6), *range(6))]
+    longer = f"<body><div class=story><p>Only a short article of ten words is here today.</p></div><section id=comments>{prose}</section></body>"
+    assert htmltext.extract(longer, w) == "Only a short article of ten words is here today."
+    assert htmltext.extract(f"<body><div class=story>{'<p>' + 'long text ' * 300_000 + '</p>'}</div></body>", w).count("long") == 300_000
+
+
 def test_best_region_is_best():
     rng = random.Random(4)
     for _ in range(300):
