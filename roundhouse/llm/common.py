@@ -39,9 +39,11 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset (tests), a folder of this process."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; where it is unset (local runs only), a folder of this process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="roundhouse-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", folder)
         _made.append((spark, folder))

@@ -54,9 +54,12 @@ class Index:
         return np.stack([squared(w, parts[:, s]) for s, w in enumerate(self.words)])
 
 
-def fit(sample: np.ndarray, rows: int, list_rows: int, subspaces: int, seed: int = 1) -> Index:
-    """Lists for about list_rows of the rows each (as many as the sample can tell apart, 40 vectors to a list), and codewords."""
-    k = max(1, min(-(-rows // list_rows), len(sample) // 40 or 1))
+def fit(sample: np.ndarray, rows: int, lists: float, subspaces: int, seed: int = 1) -> Index:
+    """lists times the root of the rows as lists (as many as the sample can tell apart, 10 vectors to a list), and codewords.
+
+    So lists and the rows in each grow alike, and what vectors in random directions probe grows by the root of the rows at most.
+    """
+    k = max(1, min(math.ceil(lists * math.sqrt(rows)), len(sample) // 10 or 1))
     coarse = centroids(sample, k, seed=seed)
     rest = sample - coarse[squared(sample, coarse).argmin(axis=1)]
     subspaces = max(1, min(subspaces, sample.shape[1]))
@@ -163,7 +166,7 @@ def _found(queries: pd.DataFrame, rows: pd.DataFrame, ix: Index, dim: int, least
     return pd.concat([counts, pd.DataFrame({"a": pairs[0], "b": pd.array(pairs[1], "Int64"), "links": np.zeros(pairs.shape[1], np.int64)})])
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, margin: float = 0.5, fit_vectors: int = 20_000, list_rows: int = 256, subspaces: int = 8) -> DataFrame:
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, margin: float = 0.5, fit_vectors: int = 20_000, lists: float = 0.4, subspaces: int = 8) -> DataFrame:
     """(key, n_links, component_id) of each row: rows link if their vectors' cosine, in double precision, is at least least.
 
     n_links counts the other rows that a row links with; component_id is the least key that links reach, the row's own included.
@@ -204,18 +207,18 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     sample = drawn(classes, "class", n, fit_vectors, "quantized").orderBy("class").select("vec").collect()
     if not sample:
         sample = classes.orderBy("class").limit(1).select("vec").collect()
-    index = spark.sparkContext.broadcast(fit(matrix([bytes(r["vec"]) for r in sample], dim), n, list_rows, subspaces))
+    index = spark.sparkContext.broadcast(fit(matrix([bytes(r["vec"]) for r in sample], dim), n, lists, subspaces))
     reach = margin * math.sqrt(2.0 - 2.0 * least)
-    lists = written(_placed(classes, index, dim, reach))
-    probes = written(_probes(lists))
+    listed = written(_placed(classes, index, dim, reach))
+    probes = written(_probes(listed))
 
-    # A list's rows and queries are dealt to blocks; there are as many lists as the fitted index has, whatever the rows.
-    blocks = lists.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks")).join(probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks")), "list")
+    # A list's rows and queries are dealt to blocks; there are as many lists as the fitted index has, some thousand at most.
+    blocks = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks")).join(probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks")), "list")
     dealt = F.broadcast(written(blocks))
     cell = lambda c: F.pmod(F.xxhash64("class"), F.col(c))
     each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
     left = probes.join(dealt, "list").withColumn("qb", cell("query_blocks")).withColumn("rb", each("row_blocks")).select("list", "rb", "qb", "home", "class", "size", "vec")
-    right = lists.join(dealt, "list").withColumn("rb", cell("row_blocks")).withColumn("qb", each("query_blocks")).select("list", "rb", "qb", "class", "size", "vec", "codes", "error", "probed")
+    right = listed.join(dealt, "list").withColumn("rb", cell("row_blocks")).withColumn("qb", each("query_blocks")).select("list", "rb", "qb", "class", "size", "vec", "codes", "error", "probed")
     found = left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb")).applyInPandas(lambda q, r: _found(q, r, index.value, dim, least), "a long, b long, links long")
     found = written(found)
     counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
@@ -223,7 +226,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     sizes = classes.select("class", "size").join(counts, "class", "left").join(comps, classes["class"] == comps["node"], "left")
     sizes = sizes.select("class", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component"))
     labelled = written(rows.select("key", "class").join(sizes, "class", "left"))
-    for done in (rows, classes, lists, probes, found, comps):
+    for done in (rows, classes, listed, probes, found, comps):
         dropped(done)
     least_key = written(labelled.where("class is not null").groupBy("component").agg(F.min("key").alias("least")))
     return labelled.join(least_key, "component", "left").select(

@@ -130,7 +130,7 @@ def test_near_duplicates(spark, margin):
     x = clustered(1, 600, 16)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + ODD
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("list", F.lit(1))
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantized.near_duplicates(df, margin=margin, list_rows=40).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantized.near_duplicates(df, margin=margin, lists=0.6).collect()}
     y = np.array([r[1] for r in rows[:600]], np.float32).astype(float)
     y /= np.sqrt((y * y).sum(axis=1, keepdims=True))
     close = (y @ y.T >= 0.9) & ~np.eye(600, dtype=bool)

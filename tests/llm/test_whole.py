@@ -64,7 +64,22 @@ def test_near_duplicates_across_borders(spark):
     x = np.random.default_rng(6).normal(size=(1500, 5))
     x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantized.near_duplicates(df, list_rows=40).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantized.near_duplicates(df, lists=1.0).collect()}
     close = (x @ x.T >= 0.9) & ~np.eye(len(x), dtype=bool)
     least = least_reached([*np.argwhere(close).tolist(), *((i, i) for i in range(len(x)))])
     assert got == {i: (int(close[i].sum()), least[i]) for i in range(len(x))}
+
+
+@pytest.mark.parametrize("n", [2000, 8000])
+def test_planted_near_vectors(spark, n):
+    """64 dimensions, mostly random directions: every planted pair about the threshold is decided as brute force does, at either size."""
+    rng = np.random.default_rng(n)
+    x = rng.normal(size=(n, 64))
+    for i in range(0, n // 4, 4):
+        x[i + 1 : i + 4] = x[i] + rng.normal(size=(3, 64)) * rng.choice([0.2, 0.32, 0.4, 0.5], size=(3, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantized.near_duplicates(df).collect()}
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    close = (x @ x.T >= 0.9) & ~np.eye(n, dtype=bool)
+    least = least_reached([*np.argwhere(close).tolist(), *((i, i) for i in range(n))])
+    assert close.sum() > n // 4 and got == {i: (int(close[i].sum()), least[i]) for i in range(n)}
