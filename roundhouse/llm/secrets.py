@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_texts
+from .common import dropped, map_texts, written
 
 ASSIGN, ACCESS, HEX, GUESS = "assign", "access", "hex", "guess"
 KINDS = (ASSIGN, ACCESS, HEX, GUESS)
@@ -79,12 +79,20 @@ def ranks(docs: DataFrame, text: str = "text", most: int = RANKED) -> dict[str,
     """log10 of the ranks of the most frequent words (3 to 24 letters, in lower case) of all texts, values in credential contexts left out.
 
     Words that are counted once are none; the fixed words keep their ranks where these are better. Words are counted on the
-    executors, with partial sums; the bounded list of most words is all that comes to the driver.
+    executors, with partial sums. Counts that are about the same are told together how many words have them (some hundred steps
+    of a sixteenth of a doubling), and only words of the steps that most words have room for come to the driver.
     """
     clear = F.regexp_replace(F.lower(text), CONTEXT.pattern, " ")
     words = docs.select(F.explode(F.regexp_extract_all(clear, F.lit(r"(\p{L}{3,})"), F.lit(1))).alias("word")).where(F.length("word") <= 24)
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    found = counts.orderBy(F.desc("n"), "word").limit(most).select("word").collect()
+    counts = written(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("word", "n", F.floor(16 * F.log2("n")).alias("step")))
+    room, least = most, math.inf
+    for r in sorted(counts.groupBy("step").agg(F.count(F.lit(1)).alias("words")).collect(), key=lambda r: -r["step"]):
+        room -= r["words"]
+        if room < 0:
+            break
+        least = r["step"]
+    found = sorted(counts.where(F.col("step") >= least).select("word", "n").collect(), key=lambda r: (-r["n"], r["word"])) if least < math.inf else []
+    dropped(counts)
     out = {r["word"]: math.log10(i + 2) for i, r in enumerate(found)}
     return out | {w: min(g, out.get(w, g)) for w, g in RANKS.items()}
 
