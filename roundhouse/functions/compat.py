@@ -70,11 +70,19 @@ def first_by(df: DataFrame, keys: Sequence[str], *order: Column | str) -> DataFr
     return df.withColumn("_nth", F.row_number().over(window)).where("_nth = 1").drop("_nth")
 
 
-def nearest_quantile(c: Column | str, q: float) -> Column:
-    """Aggregate: the value whose place is nearest to q (halves to the even place), without interpolation."""
-    values = F.array_sort(F.collect_list(col(c)))
-    place = F.bround((F.size(values) - 1) * F.lit(float(q))).cast("int")
-    return F.when(F.size(values) > 0, F.element_at(values, place + 1))
+def nearest_quantiles(df: DataFrame, keys: Sequence[str], value: str, points: Sequence[float]) -> DataFrame:
+    """(keys, point, value): at each point the value whose place is nearest to it (halves to the even place), without interpolation.
+
+    point is the number of the point. Values are counted first, so that no key's rows come together; nulls are left out.
+    """
+    keys = list(keys)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    order = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counts.withColumn("_upto", F.sum("_n").over(order)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*keys)))
+    wanted = F.array(*[F.struct(F.lit(i).alias("point"), F.lit(float(q)).alias("q")) for i, q in enumerate(points)])
+    place = lambda q: F.bround((F.col("_all") - 1) * q)
+    here = F.filter(wanted, lambda w: (place(w["q"]) >= F.col("_upto") - F.col("_n")) & (place(w["q"]) < F.col("_upto")))
+    return placed.select(*keys, F.col(value).alias("value"), F.explode(here).alias("_w")).select(*keys, F.col("_w.point").alias("point"), "value")
 
 
 def weighted_percentile(value: Column | str, weight: Column | str, q: float) -> Column:

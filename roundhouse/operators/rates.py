@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compat import ratio
+from ..functions.compat import nearest_quantiles, ratio
 
 
 @dataclass(frozen=True)
@@ -46,14 +46,20 @@ def accumulated(parts: DataFrame, keys: Sequence[str], specs: Sequence[Rate]) ->
 
 
 def others_median(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """The median of the other rows of a key: the row's value is taken out of the sorted ones at its place."""
+    """The median of the other rows of a key, nulls left out; null if there are no others.
+
+    Of the sorted values only those about the middle matter: without one of them, the middle moves by one place at most.
+    """
     w = Window.partitionBy(*keys)
-    rows = df.withColumn("_all", F.array_sort(F.collect_list(value).over(w)))
-    at = F.array_position("_all", F.col(value)).cast("int")
-    rest = F.when(F.col(value).isNull(), F.col("_all")).otherwise(F.concat(F.slice("_all", F.lit(1), at - 1), F.slice("_all", at + 1, F.size("_all"))))
-    n = F.size("_rest")
-    mid = (F.element_at("_rest", F.floor((n + 1) / 2).cast("int")) + F.element_at("_rest", F.floor(n / 2).cast("int") + 1)) / 2
-    return rows.withColumn("_rest", rest).withColumn(name, F.when(n > 0, mid)).drop("_all", "_rest")
+    rows = df.withColumn("_r", F.row_number().over(w.orderBy(F.col(value).asc_nulls_last()))).withColumn("_n", F.count(value).over(w))
+    here, left = F.col(value).isNotNull(), F.col("_n") - F.col(value).isNotNull().cast("int")
+    low, high = F.floor((left + 1) / 2), F.floor(left / 2) + 1  # places among the others
+    middle = F.floor(F.col("_n") / 2)
+    near = {d: F.max(F.when(F.col("_r") == middle + d, F.col(value))).over(w) for d in (-1, 0, 1, 2)}
+    rows = rows.select("*", *[x.alias(f"_v{d + 1}") for d, x in near.items()])
+    own = lambda p: p + (here & (F.col("_r") <= p)).cast("int") - middle + 1  # noqa: E731  the place among all, from the one before the middle
+    at = lambda p: F.element_at(F.array(*[F.col(f"_v{i}") for i in range(4)]), (own(p) + 1).cast("int"))
+    return rows.withColumn(name, F.when(left > 0, (at(low) + at(high)) / 2)).drop("_r", "_n", "_v0", "_v1", "_v2", "_v3")
 
 
 def shrunk(n: Column | str, value: Column | str, parent: Column | str, k: float) -> Column:
@@ -92,7 +98,9 @@ def outliers(df: DataFrame, keys: Sequence[str], value: str, name: str = "deviat
 
 
 def quantile_reference(df: DataFrame, keys: Sequence[str], values: Sequence[str], steps: int = 100, least: int = 1) -> DataFrame:
-    """(keys, component, quantiles): each value's quantiles in steps, where there are enough rows."""
-    points = F.array(*[F.lit(i / steps) for i in range(steps + 1)])
+    """(keys, component, quantiles): each value's quantiles in steps, by the nearest place, where there are enough rows."""
     long = df.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("component"), F.col(v).cast("double").alias("value")) for v in values])).alias("x")).select(*keys, "x.*").where("value is not null")
-    return long.groupBy(*keys, "component").agg(F.percentile("value", points).alias("quantiles"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    enough = long.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    points = nearest_quantiles(long, [*keys, "component"], "value", [i / steps for i in range(steps + 1)])
+    tables = points.groupBy(*keys, "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("point", "value"))), lambda p: p["value"]).alias("quantiles"))
+    return tables.join(enough, [*keys, "component"])

@@ -30,10 +30,10 @@ def running(keys: Sequence[str], order: Sequence[str], c: Column) -> Column:
     return F.sum(c).over(ordered(keys, order).rowsBetween(Window.unboundedPreceding, 0))
 
 
-def capped(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, limit: float, name: str) -> DataFrame:
-    """What each row adds to a running sum that stops at a limit."""
+def capped(df: DataFrame, keys: Sequence[str], order: Sequence[str], amount: str, limit: float | Column, name: str) -> DataFrame:
+    """What each row adds to a running sum that stops at a limit, which may be a column."""
     upto = running(keys, order, F.col(amount))
-    lim = F.lit(float(limit))
+    lim = limit if isinstance(limit, Column) else F.lit(float(limit))
     return df.withColumn("_upto", upto).withColumn(name, F.greatest(F.least("_upto", lim) - F.least(F.col("_upto") - F.col(amount), lim), F.lit(0.0))).drop("_upto")
 
 

@@ -14,7 +14,7 @@ from .registry import on_session
 #: Seconds in which a death is avenged, and after a blinding in which a kill is assisted by it. The sample rounds take hours.
 TRADE_WINDOW = 1800
 FLASH_GRACE = 900
-UTILITY = ("he", "smg")
+UTILITY = ("he", "fire")
 BY = [*ROUND, "player"]
 
 
@@ -31,16 +31,17 @@ def damage_per_round(s: Session) -> DataFrame:
 
 
 @on_session("""SELECT r.match_id, r.round_num, r.player, round(coalesce(sum(d.dmg), 0), 4) AS utility_damage FROM roster r
-LEFT JOIN damages d ON r.round_num = d.round_num AND r.player = d.attacker AND d.attacker_side <> d.victim_side AND d.weapon IN ('he', 'smg') GROUP BY 1, 2, 3""")
+LEFT JOIN damages d ON r.round_num = d.round_num AND r.player = d.attacker AND d.attacker_side <> d.victim_side AND d.weapon IN ('he', 'fire') GROUP BY 1, 2, 3""")
 def utility_damage(s: Session) -> DataFrame:
     dealt = enemy(s.damages).where(F.col("weapon").isin(*UTILITY)).groupBy(*ROUND, F.col("attacker").alias("player")).agg(F.sum("dmg").alias("dmg"))
     return s.roster.join(dealt, BY, "left").select(*BY, F.round(F.coalesce("dmg", F.lit(0.0)), 4).alias("utility_damage"))
 
 
-@on_session("""SELECT match_id, round_num, victim, tick, round(sum(credited), 4) AS credited, round(sum(dmg), 4) AS raw FROM (
-SELECT *, greatest(least(upto, 100.0::DOUBLE) - least(upto - dmg, 100.0::DOUBLE), 0.0::DOUBLE) AS credited FROM (SELECT *, sum(dmg) OVER (PARTITION BY match_id, round_num, victim ORDER BY tick, event_seq ROWS UNBOUNDED PRECEDING) AS upto FROM damages)) GROUP BY 1, 2, 3, 4""")
+@on_session("""SELECT match_id, round_num, victim, tick, round(sum(greatest(least(upto, victim_health) - least(upto - dmg, victim_health), 0)), 4) AS credited, round(sum(dmg), 4) AS raw FROM (
+SELECT *, sum(dmg) OVER (PARTITION BY match_id, round_num, victim, tick ORDER BY event_seq ROWS UNBOUNDED PRECEDING) AS upto FROM damages) GROUP BY 1, 2, 3, 4""")
 def damage_cap(s: Session) -> DataFrame:
-    rows = capped(s.damages, [*ROUND, "victim"], ["tick", "event_seq"], "dmg", 100.0, "credited")
+    """What a tick's hits took of a victim's health: no more than there was before it."""
+    rows = capped(s.damages, [*ROUND, "victim", "tick"], ["event_seq"], "dmg", F.col("victim_health"), "credited")
     return rows.groupBy(*ROUND, "victim", "tick").agg(F.round(F.sum("credited"), 4).alias("credited"), F.round(F.sum("dmg"), 4).alias("raw"))
 
 
@@ -113,11 +114,14 @@ def flash_assists(s: Session) -> DataFrame:
     return once.select(*ROUND, "event_seq", F.col("b_thrower").alias("thrower"), F.col("attacker").alias("killer"), (F.col("tick") - F.col("b_tick")).alias("gap"))
 
 
-@on_session("""SELECT match_id, round_num, player, count(*) FILTER (weapon = 'rifle') AS rifle, count(*) FILTER (weapon = 'sniper') AS sniper, count(*) FILTER (weapon = 'smg') AS smg, count(*) FILTER (weapon = 'pistol') AS pistol, count(*) FILTER (weapon = 'he') AS he, count(*) FILTER (weapon = 'knife') AS knife FROM shots GROUP BY 1, 2, 3""")
+@on_session(""", e AS (SELECT match_id, round_num, thrower AS player, 'flash' AS kind, event_seq // 2 AS entity FROM blinds UNION SELECT match_id, round_num, player, weapon, event_seq // 2 FROM shots WHERE weapon IN ('he', 'fire'))
+SELECT match_id, round_num, player, count(*) FILTER (kind = 'flash') AS flash, count(*) FILTER (kind = 'he') AS he, count(*) FILTER (kind = 'fire') AS fire FROM e GROUP BY 1, 2, 3""")
 def thrown_counts(s: Session) -> DataFrame:
-    from ..sources.sessions import WEAPONS
-
-    return s.shots.groupBy(*BY).pivot("weapon", list(WEAPONS)).agg(F.count(F.lit(1))).na.fill(0)
+    """Things thrown by kind; what several rows say of one thing counts once."""
+    entity = F.floor(F.col("event_seq") / 2).alias("entity")
+    flashes = s.blinds.select(*ROUND, F.col("thrower").alias("player"), F.lit("flash").alias("kind"), entity)
+    others = s.shots.where(F.col("weapon").isin(*UTILITY)).select(*BY, F.col("weapon").alias("kind"), entity)
+    return flashes.unionByName(others).distinct().groupBy(*BY).pivot("kind", ["flash", "he", "fire"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
 @on_session("""SELECT b.match_id, b.round_num, b.thrower AS player, min(b.tick) - any_value(r.freeze_end) AS first_utility FROM blinds b JOIN rounds r USING (match_id, round_num) GROUP BY 1, 2, 3""")

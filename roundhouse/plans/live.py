@@ -9,7 +9,7 @@ from ..streaming import live
 from .registry import query
 
 
-@query("""SELECT time_bucket(INTERVAL 4 HOURS, ts) AS start_ts, (user_id % 10)::BIGINT AS player, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3""")
+@query("""SELECT time_bucket(INTERVAL 4 HOURS, ts) AS start_ts, user_id::BIGINT AS player, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3""")
 def streamed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = live.drained(live.totals(live.events(spark, sf_dir, "events.parquet")), "streamed_totals", "complete")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start_ts"), "player", "event_type", "n", F.round("total", 4).alias("total"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import first_by, ratio
 from ..functions.geometry import distance
 from ..operators.sequences import islands, majority
-from ..sources.sessions import ROUND, Session
+from ..sources.sessions import ROUND, Session, nth_round, side_of
 from .combat import BY, first_contact
 from .registry import on_session
 
@@ -113,14 +113,14 @@ def visits(s: Session) -> DataFrame:
 
 
 @on_session(""", c AS (SELECT match_id, round_num, player, min(tick) AS t FROM (SELECT match_id, round_num, attacker AS player, tick FROM damages UNION ALL SELECT match_id, round_num, victim, tick FROM damages) GROUP BY 1, 2, 3),
-h AS (SELECT c.*, (SELECT arg_max(place, (k.tick, k.event_seq)) FROM ticks k WHERE k.round_num = c.round_num AND k.player = c.player AND k.tick <= c.t) AS place, CASE WHEN player < 5 THEN 't' ELSE 'ct' END AS side FROM c)
+h AS (SELECT c.*, (SELECT arg_max(place, (k.tick, k.event_seq)) FROM ticks k WHERE k.round_num = c.round_num AND k.player = c.player AND k.tick <= c.t) AS place, q.side FROM c JOIN roster q USING (match_id, round_num, player))
 SELECT h.match_id, h.round_num, h.player, count(DISTINCT k.player) AS followers FROM h LEFT JOIN ticks k ON k.round_num = h.round_num AND k.place = h.place AND k.side = h.side AND k.player <> h.player AND k.tick > h.t AND k.tick <= h.t + 2400 GROUP BY 1, 2, 3""")
 def followers(s: Session) -> DataFrame:
     """Mates who come to the place of a player's first contact soon after it."""
     from ..operators.joins import asof
 
     contact = first_contact.of(s).withColumnRenamed("first_contact", "tick")
-    placed = asof(contact, s.ticks.select(*BY, "tick", "event_seq", "place"), BY, "tick", ["place"], ["event_seq"]).withColumn("side", F.when(F.col("player") < 5, "t").otherwise("ct"))
+    placed = asof(contact, s.ticks.select(*BY, "tick", "event_seq", "place"), BY, "tick", ["place"], ["event_seq"]).withColumn("side", side_of(F.col("player"), nth_round(F.col("round_num"))))
     mates = s.ticks.select(*ROUND, "side", F.col("place").alias("r_place"), F.col("player").alias("mate"), F.col("tick").alias("m_tick"))
     came = placed.join(mates, [*ROUND, "side", "r_place"]).where("mate <> player and m_tick > tick and m_tick <= tick + 2400").groupBy(*BY).agg(F.count_distinct("mate").alias("n"))
     return contact.join(came, BY, "left").select(*BY, F.coalesce("n", F.lit(0)).alias("followers"))

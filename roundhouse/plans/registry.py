@@ -10,6 +10,8 @@ from ..sources.sessions import ORACLE, Session, session
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
+#: The module that a query is in.
+HOME: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
@@ -17,6 +19,7 @@ def query(sql: str | None = None):
 
     def add(f):
         QUERIES[f.__name__] = f
+        HOME[f.__name__] = f.__module__.rsplit(".", 1)[-1]
         if sql:
             SQL[f.__name__] = sql
         return f
@@ -24,8 +27,8 @@ def query(sql: str | None = None):
     return add
 
 
-def on_session(sql: str | None = None):
-    """Register a function of a Session; its SQL goes on from the session tables' own."""
+def on_session(sql: str | None = None, recursive: bool = False):
+    """Register a function of a Session; its SQL goes on from the session tables' own. recursive: it has a recursive common table."""
 
     def add(f: Callable[[Session], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,8 +36,9 @@ def on_session(sql: str | None = None):
 
         run.of = f  # for other queries that build on it
         QUERIES[f.__name__] = run
+        HOME[f.__name__] = f.__module__.rsplit(".", 1)[-1]
         if sql:
-            SQL[f.__name__] = ORACLE + sql
+            SQL[f.__name__] = (ORACLE.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else ORACLE) + sql
         return run
 
     return add

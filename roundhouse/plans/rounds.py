@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.compat import first_by, logistic, ratio
+from ..functions.compat import first_by, ratio
 from ..operators import grouped, oplog
-from ..operators.joins import asof, retaliation
+from ..operators.joins import asof
 from ..operators.models import resamples
-from ..operators.sequences import running
-from ..sources.sessions import ROUND, Session
+from ..sources.sessions import ROUND, Session, first_side, nth_round
 from .combat import BY
 from .registry import on_session, query
 
@@ -27,25 +26,25 @@ def dropped_opening_round(s: Session) -> DataFrame:
     return kept.select("match_id", F.when(F.col("out").isNotNull(), F.col("round_num") - 1).otherwise(F.col("round_num")).alias("round_num"), "event_seq")
 
 
-@on_session("""SELECT k.match_id, k.round_num, k.event_seq FROM kills k JOIN rounds r USING (match_id, round_num) WHERE k.tick >= r.freeze_end + 600 AND (k.tick <= r."end" - 600 OR k.round_num % 12 <> 0)""")
+@on_session("""SELECT k.match_id, k.round_num, k.event_seq FROM kills k JOIN rounds r USING (match_id, round_num) WHERE k.tick >= r.freeze_end + 600 AND (k.tick <= r."end" - 600 OR r.nth NOT IN (12, 24))""")
 def played_kills(s: Session) -> DataFrame:
     """Kills after the freeze, and before the end of the last round of a half."""
-    k = s.kills.join(s.rounds, ROUND).where((F.col("tick") >= F.col("freeze_end") + 600) & ((F.col("tick") <= F.col("end") - 600) | (F.col("round_num") % 12 != 0)))
+    k = s.kills.join(s.rounds, ROUND).where((F.col("tick") >= F.col("freeze_end") + 600) & ((F.col("tick") <= F.col("end") - 600) | (~F.col("nth").isin(12, 24))))
     return k.select(*ROUND, "event_seq")
 
 
-@on_session("""SELECT DISTINCT round_num, CASE WHEN n <= 12 THEN 't' WHEN n <= 24 THEN 'ct' WHEN ((n - 25) // 3) % 4 IN (1, 2) THEN 't' ELSE 'ct' END AS side FROM (SELECT round_num, (round_num - 1) % 40 + 1 AS n FROM rounds)""")
+@on_session("""SELECT match_id, round_num, CASE WHEN nth <= 12 THEN 't' WHEN nth <= 24 THEN 'ct' WHEN ((nth - 25) // 3) % 4 IN (1, 2) THEN 't' ELSE 'ct' END AS side, nth IN (12, 24) OR nth > 24 AND (nth - 24) % 3 = 0 AS half_end FROM rounds""")
 def side_by_round(s: Session) -> DataFrame:
-    """The side of the team that began as t: twelve rounds each, then blocks of three."""
-    n = (F.col("round_num") - 1) % 40 + 1
-    side = F.when(n <= 12, "t").when(n <= 24, "ct").when(F.pmod(F.floor((n - 25) / 3), F.lit(4)).isin(1, 2), "t").otherwise("ct")
-    return s.rounds.select("round_num", side.alias("side")).distinct()
+    """The side of the team that began as t, and whether sides change after the round: twelve rounds each, then blocks of three."""
+    nth = F.col("nth")
+    return s.rounds.select(*ROUND, first_side(nth).alias("side"), (nth.isin(12, 24) | ((nth > 24) & ((nth - 24) % 3 == 0))).alias("half_end"))
 
 
-@on_session("""SELECT round_num, player, count(*) AS samples FROM ticks t JOIN rounds r USING (match_id, round_num) WHERE tick % 4 = 0 AND tick BETWEEN r.freeze_end AND r."end" GROUP BY 1, 2""")
+@on_session("""SELECT match_id, round_num, player, count(*) AS samples FROM states t JOIN rounds r USING (match_id, round_num) WHERE alive AND tick % 1200 = 0 AND tick BETWEEN r.freeze_end AND r."end" GROUP BY 1, 2, 3""")
 def position_samples(s: Session) -> DataFrame:
-    inside = s.ticks.join(s.rounds.select(*ROUND, "freeze_end", "end"), ROUND).where((F.pmod("tick", F.lit(4)) == 0) & F.col("tick").between(F.col("freeze_end"), F.col("end")))
-    return inside.groupBy("round_num", "player").agg(F.count(F.lit(1)).alias("samples"))
+    """Samples at every so many ticks of who is alive, while the round is played."""
+    inside = s.states.where(F.col("alive") & (F.pmod("tick", F.lit(1200)) == 0)).join(s.rounds.select(*ROUND, "freeze_end", "end"), ROUND).where(F.col("tick").between(F.col("freeze_end"), F.col("end")))
+    return inside.groupBy(*BY).agg(F.count(F.lit(1)).alias("samples"))
 
 
 @on_session(""", n AS (SELECT player, place, count(*) AS n, max(match_id) AS last FROM ticks GROUP BY 1, 2) SELECT player, place AS shown FROM (SELECT *, row_number() OVER (PARTITION BY player ORDER BY n DESC, last DESC, place) AS nth FROM n) WHERE nth = 1""")
@@ -55,97 +54,17 @@ def display_names(s: Session) -> DataFrame:
     return first_by(n, ["player"], F.desc("n"), F.desc("last"), "place").select("player", F.col("place").alias("shown"))
 
 
-@on_session(""", p AS (SELECT match_id, max(round_num) AS r, max(tick) AS t FROM ev GROUP BY 1), o AS (SELECT match_id, coalesce(sum(r) OVER w, 0)::BIGINT AS r0, coalesce(sum(t) OVER w, 0)::BIGINT AS t0 FROM p WINDOW w AS (ORDER BY match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_seq, round_num + r0 AS round_num, tick + t0 AS tick FROM ev JOIN o USING (match_id)""")
+@on_session(""", p AS (SELECT match_id // 8 AS recording, match_id, max(nth) AS r, max(tick) AS t FROM ev GROUP BY 1, 2), o AS (SELECT match_id, coalesce(sum(r) OVER w, 0)::BIGINT AS r0, coalesce(sum(t) OVER w, 0)::BIGINT AS t0 FROM p WINDOW w AS (PARTITION BY recording ORDER BY match_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) SELECT event_seq, match_id // 8 AS recording, nth + r0 AS round_num, tick + t0 AS tick FROM ev JOIN o USING (match_id)""")
 def merged_parts(s: Session) -> DataFrame:
-    """Parts of a recording laid end to end: each goes on from the sum of those before."""
-    parts = s.ev.groupBy("match_id").agg(F.max("round_num").alias("r"), F.max("tick").alias("t"))
-    w = Window.orderBy("match_id").rowsBetween(Window.unboundedPreceding, -1)
+    """Parts of a recording (here eight sessions) laid end to end: each goes on from the sum of those before."""
+    recording = F.floor(F.col("match_id") / 8)
+    parts = s.ev.groupBy(recording.alias("recording"), "match_id").agg(F.max("nth").alias("r"), F.max("tick").alias("t"))
+    w = Window.partitionBy("recording").orderBy("match_id").rowsBetween(Window.unboundedPreceding, -1)
     offsets = parts.select("match_id", F.coalesce(F.sum("r").over(w), F.lit(0)).alias("r0"), F.coalesce(F.sum("t").over(w), F.lit(0)).alias("t0"))
-    return s.ev.join(offsets, "match_id").select("event_seq", (F.col("round_num") + F.col("r0")).alias("round_num"), (F.col("tick") + F.col("t0")).alias("tick"))
+    return s.ev.join(offsets, "match_id").select("event_seq", recording.alias("recording"), (F.col("nth") + F.col("r0")).alias("round_num"), (F.col("tick") + F.col("t0")).alias("tick"))
 
 
-# ---- credit, probability, mistakes
-
-PROBABILITY_SQL = """, st AS (SELECT *, 1 / (1 + exp(-0.4 * (ca - ta))) AS p, coalesce(lag(1 / (1 + exp(-0.4 * (ca - ta)))) OVER (PARTITION BY match_id, round_num ORDER BY tick, event_seq), 0.5) AS b FROM (SELECT *, sum((victim_side = 't')::INT) OVER q AS ta, sum((victim_side = 'ct')::INT) OVER q AS ca FROM kills WINDOW q AS (PARTITION BY match_id, round_num ORDER BY tick, event_seq ROWS UNBOUNDED PRECEDING))),
-sw AS (SELECT *, CASE WHEN attacker_side = 't' THEN p - b ELSE b - p END AS delta FROM st),
-hp AS (SELECT s.event_seq, d.attacker AS helper, sum(d.dmg) AS dmg FROM sw s JOIN damages d ON d.round_num = s.round_num AND d.victim = s.victim AND d.attacker <> s.attacker AND d.attacker_side = s.attacker_side AND d.tick <= s.tick GROUP BY 1, 2 HAVING sum(d.dmg) >= 20),
-cr AS (SELECT s.event_seq, s.match_id, s.round_num, h.helper AS player, 0.25 * s.delta * h.dmg / sum(h.dmg) OVER (PARTITION BY s.event_seq) AS credit FROM sw s JOIN hp h USING (event_seq)),
-al AS (SELECT match_id, round_num, player, credit FROM cr UNION ALL SELECT match_id, round_num, victim, -delta FROM sw UNION ALL SELECT s.match_id, s.round_num, s.attacker, s.delta - coalesce((SELECT sum(credit) FROM cr WHERE cr.event_seq = s.event_seq), 0) FROM sw s)
-"""
-
-
-def swing_rows(s: Session) -> DataFrame:
-    """(match_id, round_num, player, credit): what each kill moves the round's chances by goes from the victim to the killer and to those who had hurt the victim before."""
-    order = ["tick", "event_seq"]
-    lost = lambda side: running(ROUND, order, (F.col("victim_side") == side).cast("int"))
-    rows = s.kills.withColumn("p", logistic(F.lit(0.4) * (lost("ct") - lost("t"))))
-    before = F.coalesce(F.lag("p").over(Window.partitionBy(*ROUND).orderBy(*order)), F.lit(0.5))
-    swing = rows.withColumn("delta", F.when(F.col("attacker_side") == "t", F.col("p") - before).otherwise(before - F.col("p")))
-    hits = s.damages.select(*ROUND, "victim", F.col("attacker").alias("helper"), F.col("attacker_side").alias("helper_side"), F.col("tick").alias("hit_tick"), "dmg")
-    near = swing.join(hits, [*ROUND, "victim"]).where("helper <> attacker and helper_side = attacker_side and hit_tick <= tick")
-    helped = near.groupBy(*ROUND, "event_seq", "helper", "delta").agg(F.sum("dmg").alias("dmg")).where("dmg >= 20")
-    shares = helped.select(*ROUND, "event_seq", F.col("helper").alias("player"), (0.25 * F.col("delta") * F.col("dmg") / F.sum("dmg").over(Window.partitionBy("event_seq"))).alias("credit"))
-    given = shares.groupBy("event_seq").agg(F.sum("credit").alias("given"))
-    killers = swing.join(given, "event_seq", "left").select(*ROUND, F.col("attacker").alias("player"), (F.col("delta") - F.coalesce("given", F.lit(0.0))).alias("credit"))
-    victims = swing.select(*ROUND, F.col("victim").alias("player"), (-F.col("delta")).alias("credit"))
-    return shares.drop("event_seq").unionByName(killers).unionByName(victims)
-
-
-@on_session(PROBABILITY_SQL + "SELECT match_id, round_num, player, round(sum(credit), 5) + 0.0 AS swing FROM al GROUP BY 1, 2, 3")
-def round_swing(s: Session) -> DataFrame:
-    return swing_rows(s).groupBy(*BY).agg((F.round(F.sum("credit"), 5) + 0.0).alias("swing"))
-
-
-@on_session(PROBABILITY_SQL + ", q AS (SELECT match_id, round_num, player, sum(credit) AS x FROM al GROUP BY 1, 2, 3) SELECT player, count(*) AS rounds, round(avg(x), 5) AS mean, round(sqrt(greatest(sum(x * x) / count(*) - avg(x) ** 2, 0) / count(*)), 5) AS error FROM q GROUP BY 1")
-def swing_by_player(s: Session) -> DataFrame:
-    q = swing_rows(s).groupBy(*BY).agg(F.sum("credit").alias("x"))
-    sums = q.groupBy("player").agg(F.count(F.lit(1)).alias("rounds"), F.sum("x").alias("a"), F.sum(F.col("x") * F.col("x")).alias("b"))
-    mean = F.col("a") / F.col("rounds")
-    return sums.select("player", "rounds", F.round(mean, 5).alias("mean"), F.round(F.sqrt(F.greatest(F.col("b") / F.col("rounds") - mean * mean, F.lit(0.0)) / F.col("rounds")), 5).alias("error"))
-
-
-def chance_table(spark: SparkSession, target: int, p: float) -> DataFrame:
-    """(a, b, chance) that the first of two with a and b wins comes to target before the other, by the recurrence from the end; target squared rows."""
-    v = {(a, b): 1.0 if a == target else 0.0 for a in range(target + 1) for b in range(target + 1) if (a == target) != (b == target)}
-    for a in range(target - 1, -1, -1):
-        for b in range(target - 1, -1, -1):
-            v[a, b] = p * v[a + 1, b] + (1 - p) * v[a, b + 1]
-    return spark.createDataFrame([(a, b, x) for (a, b), x in v.items()], "a long, b long, chance double")
-
-
-@on_session(""", sc AS (SELECT match_id, round_num, winner, row_number() OVER q AS nth, sum((winner = 't')::INT) OVER q AS a, sum((winner = 'ct')::INT) OVER q AS b FROM rounds WINDOW q AS (PARTITION BY match_id ORDER BY round_num ROWS UNBOUNDED PRECEDING)),
-ch AS (SELECT a.i AS a, b.j AS b, CASE WHEN a.i >= 16 THEN 1.0 WHEN b.j >= 16 THEN 0.0 ELSE (SELECT sum(exp(lgamma(16 - a.i + k) - lgamma(16 - a.i) - lgamma(k + 1) + (16 - a.i + k) * ln(0.5))) FROM range(0, 16) g(k) WHERE k < 16 - b.j) END AS chance FROM range(0, 17) a(i), range(0, 17) b(j) WHERE NOT (a.i = 16 AND b.j = 16))
-SELECT sc.match_id, sc.round_num, round(ch.chance, 6) AS chance, round(ch.chance - coalesce(lag(ch.chance) OVER (PARTITION BY sc.match_id ORDER BY sc.round_num), 0.5), 6) + 0.0 AS moved FROM sc JOIN ch ON ch.a = sc.a AND ch.b = sc.b""")
-def match_chances(s: Session) -> DataFrame:
-    """The chance to win the match by the score, and what each round moved it by."""
-    w = Window.partitionBy("match_id").orderBy("round_num")
-    won = lambda side: running(["match_id"], ["round_num"], (F.col("winner") == side).cast("long"))
-    score = s.rounds.select(*ROUND, won("t").alias("a"), won("ct").alias("b"))
-    rows = score.join(F.broadcast(chance_table(s.ev.sparkSession, 16, 0.5)), ["a", "b"])
-    return rows.select(*ROUND, F.round("chance", 6).alias("chance"), (F.round(F.col("chance") - F.coalesce(F.lag("chance").over(w), F.lit(0.5)), 6) + 0.0).alias("moved"))
-
-
-@on_session(""", t AS (SELECT DISTINCT a.event_seq FROM kills a JOIN kills b ON a.round_num = b.round_num AND b.victim = a.attacker AND b.attacker_side = a.victim_side AND b.tick > a.tick AND b.tick - a.tick <= 1800),
-mate AS (SELECT k.event_seq, min(sqrt((v.x - m.x)**2 + (v.y - m.y)**2)) AS near FROM kills k JOIN (SELECT round_num, player, avg(x) AS x, avg(y) AS y FROM ticks GROUP BY 1, 2) v ON v.round_num = k.round_num AND v.player = k.victim JOIN (SELECT round_num, player, side, avg(x) AS x, avg(y) AS y FROM ticks GROUP BY 1, 2, 3) m ON m.round_num = k.round_num AND m.side = k.victim_side AND m.player <> k.victim GROUP BY 1)
-SELECT k.event_seq, k.victim AS player, CASE WHEN k.round_num % 10 = 1 THEN 'economy' WHEN k.tick > r."end" - 300 THEN 'after the end' WHEN k.event_seq IN (SELECT event_seq FROM t) THEN 'avenged' WHEN mate.near <= 60 THEN 'mate near' END AS excused,
-CASE WHEN mate.near > 200 THEN 'high' WHEN mate.near > 100 THEN 'middle' ELSE 'low' END AS severity FROM kills k JOIN rounds r USING (match_id, round_num) LEFT JOIN mate USING (event_seq)""")
-def lonely_deaths(s: Session) -> DataFrame:
-    """Deaths with the first reason, in order, why they don't count as a mistake (null: they do), and how bad they are."""
-    p = s.ticks.groupBy(*ROUND, "player", "side").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    v = p.select(*ROUND, F.col("player").alias("victim"), F.col("x").alias("vx"), F.col("y").alias("vy"))
-    m = p.select(*ROUND, F.col("player").alias("mate"), F.col("side").alias("victim_side"), F.col("x").alias("mx"), F.col("y").alias("my"))
-    apart = F.sqrt((F.col("vx") - F.col("mx")) * (F.col("vx") - F.col("mx")) + (F.col("vy") - F.col("my")) * (F.col("vy") - F.col("my")))
-    near = s.kills.join(v, [*ROUND, "victim"]).join(m, [*ROUND, "victim_side"]).where("mate <> victim").groupBy("event_seq").agg(F.min(apart).alias("near"))
-    avenged = retaliation(s.kills, ROUND, 1800).select(F.col("first_event_seq").alias("event_seq"), F.lit(True).alias("avenged")).distinct()
-    rows = s.kills.join(s.rounds.select(*ROUND, "end"), ROUND).join(near, "event_seq", "left").join(avenged, "event_seq", "left")
-    excuse = F.when(F.col("round_num") % 10 == 1, "economy").when(F.col("tick") > F.col("end") - 300, "after the end").when(F.col("avenged"), "avenged").when(F.col("near") <= 60, "mate near")
-    return rows.select("event_seq", F.col("victim").alias("player"), excuse.alias("excused"), F.when(F.col("near") > 200, "high").when(F.col("near") > 100, "middle").otherwise("low").alias("severity"))
-
-
-@on_session(""", b AS (SELECT match_id, thrower AS player, thrower_side AS side, sum(duration) AS total, max(duration) AS worst FROM blinds WHERE thrower_side = victim_side AND thrower <> victim GROUP BY 1, 2, 3) SELECT match_id, player, side, round(total, 4) AS total, CASE WHEN total >= 27 THEN 'sum' WHEN worst >= 1.5 THEN 'single' END AS why FROM b""")
-def team_flashes(s: Session) -> DataFrame:
-    b = s.blinds.where("thrower_side = victim_side and thrower <> victim").groupBy("match_id", F.col("thrower").alias("player"), F.col("thrower_side").alias("side")).agg(F.sum("duration").alias("total"), F.max("duration").alias("worst"))
-    return b.select("match_id", "player", "side", F.round("total", 4).alias("total"), F.when(F.col("total") >= 27, "sum").when(F.col("worst") >= 1.5, "single").alias("why"))
+# ---- mistakes and what to show
 
 
 @on_session(""", k AS (SELECT match_id, round_num, attacker, count(*) AS n FROM kills GROUP BY 1, 2, 3) SELECT r.match_id, r.round_num, round(coalesce(max(8.0 * greatest(k.n - 2, 0)), 0) + CASE WHEN count(DISTINCT k.attacker) >= 5 THEN 12 ELSE 0 END + CASE WHEN r.winner = 'ct' THEN 3.5 ELSE 0 END, 2)::DOUBLE AS points FROM rounds r LEFT JOIN k USING (match_id, round_num) GROUP BY 1, 2, r.winner""")
@@ -162,10 +81,10 @@ def _ops(s: Session) -> DataFrame:
     kind = F.element_at(F.array(*[F.lit(x) for x in ("create", "set", "set", "set", "remove", "undo", "redo", "set")]), (F.col("k") % 8 + 1).cast("int"))
     back = F.concat(F.lit("o"), (F.col("event_seq") - F.col("k") % 5 * 3).cast("string"))
     target = F.when(kind.isin("undo", "redo"), back).otherwise(F.concat(F.lit("n"), (F.floor(F.col("k") / 8) % 3).cast("string")))
-    return s.ev.select(F.col("round_num").alias("doc_id"), F.concat(F.lit("o"), F.col("event_seq").cast("string")).alias("op_id"), F.col("tick").alias("seq"), (F.col("player") % 3).alias("author"), kind.alias("kind"), target.alias("target"), F.when(F.col("player") < 5, "x").otherwise("y").alias("field"), "value")
+    return s.ev.select(F.col("round_num").alias("doc_id"), F.concat(F.lit("o"), F.col("event_seq").cast("string")).alias("op_id"), F.col("tick").alias("seq"), (F.col("player") % 3).alias("author"), kind.alias("kind"), target.alias("target"), F.when(F.col("player") % 10 < 5, "x").otherwise("y").alias("field"), "value")
 
 
-OPS_SQL = """, ops AS (SELECT round_num AS doc_id, 'o' || event_seq AS op_id, tick AS seq, player % 3 AS author, ['create', 'set', 'set', 'set', 'remove', 'undo', 'redo', 'set'][(k % 8 + 1)::INT] AS kind, CASE WHEN k % 8 IN (5, 6) THEN 'o' || (event_seq - k % 5 * 3) ELSE 'n' || ((k // 8) % 3) END AS target, CASE WHEN player < 5 THEN 'x' ELSE 'y' END AS field, value FROM ev),
+OPS_SQL = """, ops AS (SELECT round_num AS doc_id, 'o' || event_seq AS op_id, tick AS seq, player % 3 AS author, ['create', 'set', 'set', 'set', 'remove', 'undo', 'redo', 'set'][(k % 8 + 1)::INT] AS kind, CASE WHEN k % 8 IN (5, 6) THEN 'o' || (event_seq - k % 5 * 3) ELSE 'n' || ((k // 8) % 3) END AS target, CASE WHEN player % 10 < 5 THEN 'x' ELSE 'y' END AS field, value FROM ev),
 vd AS (SELECT doc_id, target AS op_id, author, arg_max(kind, (seq, op_id)) AS verdict FROM ops WHERE kind IN ('undo', 'redo') GROUP BY 1, 2, 3), live AS (SELECT o.* FROM ops o LEFT JOIN vd USING (doc_id, op_id, author) WHERE o.kind NOT IN ('undo', 'redo') AND (verdict IS NULL OR verdict = 'redo'))
 """
 
@@ -252,24 +171,27 @@ def place_routes(s: Session) -> DataFrame:
     return grouped.shortest_paths(pairs, edges, "a", "b")
 
 
-@on_session()
+@on_session(""", u AS (SELECT match_id, round_num, row_number() OVER (PARTITION BY match_id ORDER BY round_num) AS nth, count(*) OVER (PARTITION BY match_id) AS n FROM rounds), dr AS (SELECT match_id, resample, n, ('0x' || substr(md5('7:' || match_id || ':' || resample || ':' || nth), 1, 12))::BIGINT % n + 1 AS nth FROM u, range(50) g(resample)),
+m AS (SELECT dr.match_id, resample, u.round_num, count(*) AS times FROM dr JOIN u ON u.match_id = dr.match_id AND u.nth = dr.nth GROUP BY 1, 2, 3), k AS (SELECT round_num, attacker AS player, count(*) AS n FROM kills GROUP BY 1, 2), t AS (SELECT m.match_id, resample, player, sum(n * times) AS n FROM m JOIN k USING (round_num) GROUP BY 1, 2, 3)
+SELECT match_id, player, round(count(*) FILTER (rk = 1) / 50.0, 4) AS share, (count(*) FILTER (rk = 1) / 50.0 < 0.7)::BIGINT AS tendency FROM (SELECT *, rank() OVER (PARTITION BY match_id, resample, player % 10 < 5 ORDER BY n DESC) AS rk FROM t) GROUP BY 1, 2""")
 def stability(s: Session) -> DataFrame:
-    """How often a player has the most kills of a side when rounds are drawn with replacement 50 times."""
-    k = s.kills.groupBy("round_num", F.col("attacker").alias("player")).agg(F.count(F.lit(1)).alias("n"))
-    drawn = k.join(resamples(s.rounds, "round_num", 50, 7), "round_num").groupBy("resample", "player").agg(F.sum(F.col("n") * F.col("multiplicity")).alias("n"))
-    top = drawn.withColumn("side", F.col("player") < 5).withColumn("rk", F.rank().over(Window.partitionBy("resample", "side").orderBy(F.desc("n"))))
-    return top.groupBy("player").agg(ratio(F.count_if(F.col("rk") == 1), F.lit(50)).alias("share"))
+    """How often a player has the most kills of a team when a match's rounds are drawn with replacement 50 times; below 0.7 it is but a tendency."""
+    k = s.kills.groupBy(*ROUND, F.col("attacker").alias("player")).agg(F.count(F.lit(1)).alias("n"))
+    drawn = k.join(resamples(s.rounds, ["match_id"], "round_num", 50, 7), ROUND).groupBy("match_id", "resample", "player").agg(F.sum(F.col("n") * F.col("multiplicity")).alias("n"))
+    top = drawn.withColumn("team", F.col("player") % 10 < 5).withColumn("rk", F.rank().over(Window.partitionBy("match_id", "resample", "team").orderBy(F.desc("n"))))
+    share = ratio(F.count_if(F.col("rk") == 1), F.lit(50))
+    return top.groupBy("match_id", "player").agg(F.round(share, 4).alias("share"), (share < 0.7).cast("long").alias("tendency"))
 
 
 # ---- star schema
 
 
-@query("""WITH i AS (SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM lineitem), x AS (SELECT i.*, (SELECT max(b.l_shipdate) FROM i b WHERE b.l_partkey = i.l_partkey AND b.l_shipdate < i.l_shipdate) AS before FROM i WHERE l_orderkey % 7 = 0)
-SELECT l_orderkey, l_linenumber, date_diff('day', before, l_shipdate) AS days_since FROM x""")
+@query("""WITH d AS (SELECT DISTINCT l_partkey, l_shipdate FROM lineitem), b AS (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_partkey ORDER BY l_shipdate) AS before FROM d)
+SELECT l_orderkey, l_linenumber, date_diff('day', before, l_shipdate) AS days_since FROM lineitem JOIN b USING (l_partkey, l_shipdate)""")
 def days_since_last_shipment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As-of join of a table with itself: the last earlier shipment of the same part, for every seventh order."""
+    """As-of join of a table with itself: the last earlier shipment of the same part."""
     items = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
-    out = asof(items.where("l_orderkey % 7 = 0"), items, ["l_partkey"], "l_shipdate", [], ["l_orderkey", "l_linenumber"], "backward", exact=False)
+    out = asof(items, items, ["l_partkey"], "l_shipdate", [], ["l_orderkey", "l_linenumber"], "backward", exact=False)
     return out.select("l_orderkey", "l_linenumber", F.datediff("l_shipdate", "r_l_shipdate").cast("long").alias("days_since"))
 
 

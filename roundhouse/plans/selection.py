@@ -11,22 +11,20 @@ from ..sources.sessions import ROUND, Session
 from .registry import on_session, query
 
 
-@on_session(""", b AS (SELECT match_id, round_num, player, list(weapon ORDER BY event_seq) AS inv FROM w GROUP BY 1, 2, 3), s(weapon, strength) AS (VALUES ('sniper', 5), ('rifle', 4), ('smg', 3), ('pistol', 2), ('he', 1))
-SELECT b.match_id, b.round_num, b.player, arg_max(s.weapon, s.strength) AS best, count(*) AS mapped FROM b, LATERAL (SELECT unnest(b.inv) AS weapon) u JOIN s ON s.weapon = u.weapon GROUP BY 1, 2, 3""")
+@on_session(""", s(weapon, strength) AS (VALUES ('sniper', 5), ('rifle', 4), ('smg', 3), ('pistol', 2), ('he', 1)) SELECT match_id, round_num, player, arg_max(weapon, strength) AS best, count(*) AS mapped FROM w JOIN s USING (weapon) GROUP BY 1, 2, 3""")
 def best_items(s: Session) -> DataFrame:
-    """The strongest known item of a list."""
+    """The strongest known item that a player has in a round, as a maximum over its rows."""
     strength = F.create_map(*[F.lit(x) for kv in {"sniper": 5, "rifle": 4, "smg": 3, "pistol": 2, "he": 1}.items() for x in kv])
-    weapon = F.element_at(F.array(*[F.lit(w) for w in ("rifle", "sniper", "smg", "pistol", "he", "knife")]), (F.col("k") % 6 + 1).cast("int"))
-    inv = s.ev.groupBy(*ROUND, "player").agg(F.collect_list(weapon).alias("inv"))
-    known = F.filter(F.transform("inv", lambda w: F.struct(strength[w].alias("s"), w.alias("w"))), lambda x: x["s"].isNotNull())
-    return inv.select(*ROUND, "player", F.array_max(known)["w"].alias("best"), F.size(known).cast("long").alias("mapped")).where("mapped > 0")
+    known = s.ticks.select(*ROUND, "player", "weapon", strength[F.col("weapon")].alias("s")).where("s is not null")
+    return known.groupBy(*ROUND, "player").agg(F.max_by("weapon", "s").alias("best"), F.count(F.lit(1)).alias("mapped"))
 
 
-@on_session(""", a AS (SELECT round_num, list_sort(list(DISTINCT player)) AS r FROM kills, LATERAL (SELECT unnest([attacker, victim]) AS player) GROUP BY 1) SELECT x.round_num AS one, y.round_num AS other FROM a x JOIN a y ON x.r = y.r AND x.round_num < y.round_num""")
+@on_session(""", a AS (SELECT round_num, list_sort(list(DISTINCT player % 10)) AS r FROM kills, LATERAL (SELECT unnest([attacker, victim]) AS player) GROUP BY 1) SELECT round_num, min(round_num) OVER (PARTITION BY r) AS like_round, count(*) OVER (PARTITION BY r) AS alike FROM a""")
 def same_rosters(s: Session) -> DataFrame:
-    """Rounds with equal sets of players: joined on the sorted set."""
-    a = s.kills.select("round_num", F.explode(F.array("attacker", "victim")).alias("player")).groupBy("round_num").agg(F.array_sort(F.collect_set("player")).alias("r"))
-    return a.select(F.col("round_num").alias("one"), "r").join(a.select(F.col("round_num").alias("other"), "r"), "r").where("one < other").select("one", "other")
+    """Rounds with equal sets of slots: each with the first one of its set, so that equal sets give no pairs."""
+    a = s.kills.select("round_num", F.explode(F.array("attacker", "victim")).alias("player")).groupBy("round_num").agg(F.array_sort(F.collect_set(F.col("player") % 10)).alias("r"))
+    sets = a.groupBy("r").agg(F.min("round_num").alias("like_round"), F.count(F.lit(1)).alias("alike"))
+    return a.join(sets, "r").select("round_num", "like_round", "alike")
 
 
 @query("""SELECT p_partkey, lower(p_name) AS name, levenshtein(lower(p_brand), 'brand#12')::BIGINT AS far, regexp_replace(p_type, '([A-Z])([A-Z]+)', '\\1.', 'g') AS short FROM part""")
@@ -93,8 +91,8 @@ def worst_deficits(s: Session) -> DataFrame:
     return s.kills.select(*ROUND, lead.alias("l")).groupBy(*ROUND).agg(F.max("l").cast("long").alias("most_ahead"), F.min("l").cast("long").alias("most_behind"))
 
 
-@on_session(""", q AS (SELECT match_id, round_num, player, count(*) AS n FROM ticks GROUP BY 1, 2, 3), b AS (SELECT player, avg(n) AS obs FROM q GROUP BY 1), e AS (SELECT (player < 5)::INT AS role, avg(n) AS exp_ FROM q GROUP BY 1) SELECT b.player, round(obs / exp_, 4) AS relative FROM b JOIN e ON e.role = (b.player < 5)::INT""")
+@on_session(""", q AS (SELECT match_id, round_num, player, count(*) AS n FROM ticks GROUP BY 1, 2, 3), b AS (SELECT player, avg(n) AS obs FROM q GROUP BY 1), e AS (SELECT (player % 10 < 5)::INT AS role, avg(n) AS exp_ FROM q GROUP BY 1) SELECT b.player, round(obs / exp_, 4) AS relative FROM b JOIN e ON e.role = (b.player % 10 < 5)::INT""")
 def observed_over_expected(s: Session) -> DataFrame:
     """A player's mean over that of the role."""
-    q = s.ticks.groupBy(*ROUND, "player").agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.col("player") < 5)
+    q = s.ticks.groupBy(*ROUND, "player").agg(F.count(F.lit(1)).alias("n")).withColumn("role", F.col("player") % 10 < 5)
     return q.groupBy("player", "role").agg(F.avg("n").alias("o")).join(q.groupBy("role").agg(F.avg("n").alias("e")), "role").select("player", F.round(ratio("o", "e"), 4).alias("relative"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.compat import binomial_tail, first_by, half_even, logistic, nearest_quantile, ramp, ratio, ratio_or_zero, share_at_most, weighted_percentile
+from ..functions.compat import binomial_tail, first_by, half_even, logistic, nearest_quantiles, ramp, ratio, ratio_or_zero, share_at_most, weighted_percentile
 from ..functions.geometry import angle_between, cell, circular_mean, distance, pitch_to, view_vector, yaw_difference, yaw_to
 from ..operators.models import imputed, nearest_centre, rand_index, scored, standardised
 from ..operators.rates import Rate, accumulated, finished, hierarchical, method_of_moments, others_median, outliers, quantile_reference, rates, shrunk
@@ -83,17 +83,17 @@ def damage_outliers(s: Session) -> DataFrame:
     return out.select("event_seq", F.round("deviations", 4).alias("deviations"))
 
 
-@on_session(""", q AS (SELECT attacker_side, quantile_cont(dmg, [0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1]) AS v FROM damages GROUP BY 1) SELECT attacker_side, 'dmg' AS component, i AS place, round(v[i + 1], 4) AS value FROM q, range(11) g(i)""")
+@on_session(""", q AS (SELECT attacker_side, list(dmg ORDER BY dmg) AS v FROM damages GROUP BY 1) SELECT attacker_side, 'dmg' AS component, i AS place, round(v[round_even((len(v) - 1) * i / 10.0, 0)::INT + 1], 4) AS value FROM q, range(11) g(i)""")
 def quantile_table(s: Session) -> DataFrame:
     out = quantile_reference(s.damages, ["attacker_side"], ["dmg"], 10)
     return out.select("attacker_side", "component", F.posexplode("quantiles").alias("place", "value")).select("attacker_side", "component", F.col("place").cast("long").alias("place"), F.round("value", 4).alias("value"))
 
 
-@on_session(""", r AS (SELECT attacker_side, quantile_cont(dmg, [0, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9, 0.95, 1]) AS q FROM damages GROUP BY 1)
+@on_session(""", v AS (SELECT attacker_side, list(dmg ORDER BY dmg) AS v FROM damages GROUP BY 1), r AS (SELECT attacker_side, list_transform(range(21), lambda i: v[round_even((len(v) - 1) * i / 20.0, 0)::INT + 1]) AS q FROM v)
 SELECT event_seq, round(len(list_filter(q, lambda x: x <= dmg)) / len(q), 4) AS percentile FROM damages JOIN r USING (attacker_side)""")
 def percentile_against_reference(s: Session) -> DataFrame:
     ref = quantile_reference(s.damages, ["attacker_side"], ["dmg"], 20).select("attacker_side", "quantiles")
-    return s.damages.join(F.broadcast(ref), "attacker_side").select("event_seq", F.round(share_at_most(F.col("quantiles"), F.col("dmg")), 4).alias("percentile"))
+    return s.damages.join(F.broadcast(ref), "attacker_side").select("event_seq", F.round(share_at_most(F.col("quantiles"), F.col("dmg")), 4).alias("percentile"))  # a row for each side
 
 
 @on_session(""", h AS (SELECT attacker_side, floor(dmg / 10) * 10 AS bin, count(*) AS n FROM damages GROUP BY 1, 2), e AS (SELECT attacker_side, bin FROM h, range(n) g(i))
@@ -105,7 +105,7 @@ def histogram_percentiles(s: Session) -> DataFrame:
 
 @on_session(""", o AS (SELECT attacker, dmg, row_number() OVER (PARTITION BY attacker ORDER BY dmg) - 1 AS i, count(*) OVER (PARTITION BY attacker) AS n FROM damages) SELECT attacker, dmg AS p25 FROM o WHERE i = round_even((n - 1) * 0.25, 0)""")
 def nearest_rank_quantiles(s: Session) -> DataFrame:
-    return s.damages.groupBy("attacker").agg(nearest_quantile("dmg", 0.25).alias("p25"))
+    return nearest_quantiles(s.damages, ["attacker"], "dmg", [0.25]).select("attacker", F.col("value").alias("p25"))
 
 
 @on_session("""SELECT side, floor(x / 64)::BIGINT AS cx, floor(y / 64)::BIGINT AS cy, floor(x / 64) * 64 + 32 AS mid_x, floor(y / 64) * 64 + 32 AS mid_y, count(*) AS n FROM ticks GROUP BY ALL""")
@@ -134,9 +134,9 @@ def dominant_place(s: Session) -> DataFrame:
     return first_by(share, BY, F.desc("n"), "place").select(*BY, "place", F.round("share", 4).alias("share"))
 
 
-@on_session("""SELECT place, side, round(((degrees(atan2(avg(sin(radians(yaw))), avg(cos(radians(yaw))))) % 360) + 360) % 360, 4) AS yaw, count(*) AS n FROM ticks WHERE yaw > 20 AND yaw < 160 GROUP BY 1, 2 HAVING count(*) >= 4""")
+@on_session("""SELECT place, side, round(((degrees(atan2(avg(sin(radians(yaw))), avg(cos(radians(yaw))))) % 360) + 360) % 360, 4) AS yaw, count(*) AS n FROM ticks GROUP BY 1, 2 HAVING count(*) >= 4""")
 def mean_directions(s: Session) -> DataFrame:
-    some = s.ticks.where("yaw > 20 and yaw < 160").groupBy("place", "side").agg(circular_mean(F.col("yaw")).alias("yaw"), F.count(F.lit(1)).alias("n")).where("n >= 4")
+    some = s.ticks.groupBy("place", "side").agg(circular_mean(F.col("yaw")).alias("yaw"), F.count(F.lit(1)).alias("n")).where("n >= 4")
     return some.withColumn("yaw", F.round("yaw", 4))
 
 
@@ -164,12 +164,12 @@ def chance_of_headshots(s: Session) -> DataFrame:
 
 
 @on_session(""", q AS (SELECT match_id, attacker AS player, sum(CASE WHEN weapon = 'sniper' THEN 1 ELSE 0 END) / count(*) AS sniper, sum(headshot) / count(*) AS head, count(*)::DOUBLE AS kills FROM kills GROUP BY 1, 2)
-SELECT match_id, trait, player, round(value, 4) AS value FROM (SELECT *, rank() OVER (PARTITION BY match_id, side, trait ORDER BY value DESC) AS rk FROM (SELECT match_id, player, CASE WHEN player < 5 THEN 't' ELSE 'ct' END AS side, unnest(['sniper', 'head', 'frag']) AS trait, unnest([sniper, head, kills]) AS value, unnest([0.1, 0.3, 20.0]) AS least, kills FROM q)
+SELECT match_id, trait, player, round(value, 4) AS value FROM (SELECT *, rank() OVER (PARTITION BY match_id, side, trait ORDER BY value DESC) AS rk FROM (SELECT match_id, player, CASE WHEN player % 10 < 5 THEN 't' ELSE 'ct' END AS side, unnest(['sniper', 'head', 'frag']) AS trait, unnest([sniper, head, kills]) AS value, unnest([0.1, 0.3, 20.0]) AS least, kills FROM q)
 WHERE true QUALIFY rk = 1) WHERE value >= least AND kills >= 8""")
 def traits(s: Session) -> DataFrame:
     q = s.kills.groupBy("match_id", F.col("attacker").alias("player")).agg(ratio(F.count_if(F.col("weapon") == "sniper"), F.count(F.lit(1))).alias("sniper"), ratio(F.sum("headshot"), F.count(F.lit(1))).alias("head"), F.count(F.lit(1)).cast("double").alias("frag"))
     spec = {"sniper": 0.1, "head": 0.3, "frag": 20.0}
-    long = q.withColumn("side", F.when(F.col("player") < 5, "t").otherwise("ct")).select("match_id", "side", "player", F.col("frag").alias("kills"), F.explode(F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("value"), F.lit(least).alias("least")) for t, least in spec.items()])).alias("x")).select("*", "x.*")
+    long = q.withColumn("side", F.when(F.col("player") % 10 < 5, "t").otherwise("ct")).select("match_id", "side", "player", F.col("frag").alias("kills"), F.explode(F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("value"), F.lit(least).alias("least")) for t, least in spec.items()])).alias("x")).select("*", "x.*")
     top = long.withColumn("rk", F.rank().over(Window.partitionBy("match_id", "side", "trait").orderBy(F.desc("value")))).where("rk = 1 and value >= least and kills >= 8")
     return top.select("match_id", "trait", "player", F.round("value", 4).alias("value"))
 
@@ -186,26 +186,13 @@ def split_ties_matchups(s: Session) -> DataFrame:
     return both.groupBy("own", "other").agg(F.round(F.sum("x"), 4).alias("weight"), F.round(ratio(F.sum(F.when(F.col("winner") == "t", F.col("x")).otherwise(0.0)), F.sum("x")), 4).alias("rate"))
 
 
-@on_session(PARTICIPATION_SQL + """, d AS (SELECT round_num, attacker AS player, sum(dmg) AS dmg FROM damages WHERE attacker_side <> victim_side GROUP BY 1, 2), k AS (SELECT round_num, attacker AS player, count(*) AS n FROM kills GROUP BY 1, 2),
-c AS (SELECT p.match_id, p.player, avg(coalesce(k.n, 0)) AS kpr, avg(coalesce(d.dmg, 0)) AS adr, avg((p.survived)::INT) AS surv, avg((killed OR assisted OR survived OR traded)::INT) AS kast FROM part p LEFT JOIN d USING (round_num, player) LEFT JOIN k USING (round_num, player) GROUP BY 1, 2),
-m AS (SELECT avg(kpr) AS mk, avg(adr) AS ma, avg(surv) AS ms, avg(kast) AS mt, stddev_samp(adr) AS sa FROM c) SELECT match_id, player, round(0.4 * kpr / mk + 0.25 * (1 + (adr - ma) / sa * 0.2) + 0.15 * surv / ms + 0.2 * kast / mt, 4) AS rating FROM c, m""")
-def rating(s: Session) -> DataFrame:
-    d = s.damages.where("attacker_side <> victim_side").groupBy(*ROUND, F.col("attacker").alias("player")).agg(F.sum("dmg").alias("dmg"))
-    k = s.kills.groupBy(*ROUND, F.col("attacker").alias("player")).agg(F.count(F.lit(1)).alias("n"))
-    rows = participation(s).join(d, BY, "left").join(k, BY, "left")
-    took = F.col("killed") | F.col("assisted") | F.col("survived") | F.col("traded")
-    c = rows.groupBy("match_id", "player").agg(F.avg(F.coalesce("n", F.lit(0))).alias("kpr"), F.avg(F.coalesce("dmg", F.lit(0.0))).alias("adr"), F.avg(F.col("survived").cast("int")).alias("surv"), F.avg(took.cast("int")).alias("kast"))
-    m = c.agg(*[F.avg(x).alias(f"m_{x}") for x in ("kpr", "adr", "surv", "kast")], F.stddev_samp("adr").alias("s_adr"))
-    parts = 0.4 * ratio("kpr", "m_kpr") + 0.25 * (1 + ratio(F.col("adr") - F.col("m_adr"), "s_adr") * 0.2) + 0.15 * ratio("surv", "m_surv") + 0.2 * ratio("kast", "m_kast")
-    return c.crossJoin(F.broadcast(m)).select("match_id", "player", F.round(parts, 4).alias("rating"))  # one row
-
-
-@query("""WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS a, embedding[2]::DOUBLE AS b, embedding[3]::DOUBLE AS c FROM embeddings), c(i, a, b, c) AS (VALUES (0, -0.1, 0.0, 0.1), (1, 0.1, 0.1, -0.1), (2, 0.0, -0.1, 0.0), (3, 0.2, 0.0, 0.2))
-SELECT vec_id, cluster FROM (SELECT vec_id, c.i::BIGINT AS cluster, row_number() OVER (PARTITION BY vec_id ORDER BY (e.a - c.a) * (e.a - c.a) + (e.b - c.b) * (e.b - c.b) + (e.c - c.c) * (e.c - c.c), c.i) AS n FROM e, c) WHERE n = 1""")
+@query("""WITH c AS (SELECT j, i, ((i * 7 + j * 13) % 11 - 5) / 50.0 AS v FROM range(4) a(j), range(64) b(i)), e AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+d AS (SELECT vec_id, j, sum((x - v) * (x - v)) AS apart FROM e JOIN c USING (i) GROUP BY 1, 2) SELECT vec_id, cluster FROM (SELECT vec_id, j::BIGINT AS cluster, row_number() OVER (PARTITION BY vec_id ORDER BY apart, j) AS n FROM d) WHERE n = 1""")
 def nearest_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by the nearest of some fixed centres, over all their components."""
     e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    cols = [F.element_at("embedding", i).cast("double") for i in (1, 2, 3)]
-    return e.select("vec_id", nearest_centre(cols, [(-0.1, 0.0, 0.1), (0.1, 0.1, -0.1), (0.0, -0.1, 0.0), (0.2, 0.0, 0.2)]).alias("cluster"))
+    cols = [F.element_at("embedding", i + 1).cast("double") for i in range(64)]
+    return e.select("vec_id", nearest_centre(cols, [[((i * 7 + j * 13) % 11 - 5) / 50.0 for i in range(64)] for j in range(4)]).alias("cluster"))
 
 
 MODEL = {"mean": (48.0, 240.0, 30.0), "scale": (50.0, 140.0, 20.0), "centre": (0.0, 0.0, 0.0), "components": ((0.6, 0.8, 0.0), (0.0, 0.6, 0.8)), "centres": ((-1.0, -1.0), (0.0, 1.0), (1.0, 0.0), (1.5, 1.5))}
@@ -217,10 +204,10 @@ def saved_model_clusters(s: Session) -> DataFrame:
     return scored(s.ticks, ["x", "y", "z"], MODEL).select("event_seq", "cluster")
 
 
-@on_session(""", f AS (SELECT player, avg(x) AS x, CASE WHEN player <> 3 THEN avg(y) END AS y FROM ticks GROUP BY 1), i AS (SELECT player, x, coalesce(y, (SELECT median(y) FROM f)) AS y FROM f)
+@on_session(""", f AS (SELECT player, avg(x) AS x, CASE WHEN player % 10 <> 3 THEN avg(y) END AS y FROM ticks GROUP BY 1), i AS (SELECT player, x, coalesce(y, (SELECT median(y) FROM f)) AS y FROM f)
 SELECT player, round((x - avg(x) OVER ()) / stddev_pop(x) OVER (), 4) AS x, round((y - avg(y) OVER ()) / stddev_pop(y) OVER (), 4) AS y FROM i""")
 def standardised_features(s: Session) -> DataFrame:
-    f = s.ticks.groupBy("player").agg(F.avg("x").alias("x"), F.avg(F.when(F.col("player") != 3, F.col("y"))).alias("y"))
+    f = s.ticks.groupBy("player").agg(F.avg("x").alias("x"), F.avg(F.when(F.col("player") % 10 != 3, F.col("y"))).alias("y"))
     out = standardised(imputed(f, ["x", "y"]), ["x", "y"])
     return out.select("player", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 

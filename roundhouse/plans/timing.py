@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.compat import average_rank, first_by, logistic, masked_rank
+from ..functions.compat import average_rank, first_by, masked_rank
 from ..functions.geometry import distance
-from ..operators.joins import asof, bucketed_near, densified, nearest_row, one_to_one, overridden, with_fallback
+from ..operators.joins import asof, bucketed_near, densified, one_to_one, overridden, with_fallback
 from ..operators.sequences import alone_first, change_points, islands, majority, resampled, running, segments, top_with_ties
 from ..sources.sessions import ROUND, Session
 from .combat import BY, first_contact
@@ -54,11 +54,12 @@ def asof_nearest(s: Session) -> DataFrame:
 
 
 @on_session("""SELECT match_id, round_num, event_seq, sample_seq, gap FROM (SELECT k.match_id, k.round_num, k.event_seq, t.event_seq AS sample_seq, abs(t.tick - k.tick) AS gap,
-row_number() OVER (PARTITION BY k.event_seq ORDER BY abs(t.tick - k.tick), t.tick, t.event_seq) AS nth FROM kills k JOIN ticks t ON t.round_num = k.round_num AND t.player = k.victim) WHERE nth = 1""")
+row_number() OVER (PARTITION BY k.event_seq ORDER BY abs(t.tick - k.tick), t.tick, CASE WHEN t.tick <= k.tick THEN -t.event_seq ELSE t.event_seq END) AS nth FROM kills k JOIN ticks t ON t.round_num = k.round_num AND t.player = k.victim) WHERE nth = 1""")
 def nearest_sample(s: Session) -> DataFrame:
-    t = s.ticks.select(F.col("match_id").alias("m"), F.col("round_num").alias("r"), "player", F.col("tick").alias("t_tick"), F.col("event_seq").alias("sample_seq"))
-    out = nearest_row(s.kills, t, [F.col("match_id") == F.col("m"), F.col("round_num") == F.col("r"), F.col("victim") == F.col("player")], ["event_seq"], F.abs(F.col("t_tick") - F.col("tick")), "t_tick", "sample_seq")
-    return out.select(*ROUND, "event_seq", "sample_seq", "gap")
+    """A victim's sample nearest to the kill, before or after."""
+    samples = s.ticks.select(*ROUND, F.col("player").alias("victim"), "tick", F.col("event_seq").alias("sample_seq"))
+    out = asof(s.kills.select(*ROUND, "victim", "tick", "event_seq"), samples, [*ROUND, "victim"], "tick", ["sample_seq"], ["sample_seq"], "nearest").where("r_sample_seq is not null")
+    return out.select(*ROUND, "event_seq", F.col("r_sample_seq").alias("sample_seq"), F.abs(F.col("r_tick") - F.col("tick")).alias("gap"))
 
 
 @on_session("""SELECT match_id, round_num, player, arg_max(place, (tick, event_seq)) AS place FROM (SELECT t.*, r.freeze_end FROM ticks t JOIN rounds r USING (match_id, round_num)) WHERE tick <= freeze_end + 5000 GROUP BY 1, 2, 3""")
@@ -67,14 +68,20 @@ def setup_snapshot(s: Session) -> DataFrame:
     return near.groupBy(*BY).agg(F.max_by("place", F.struct("tick", "event_seq")).alias("place"))
 
 
-@on_session("""SELECT match_id, round_num, event_seq, near_seq, round(apart, 4) AS apart FROM (SELECT a.match_id, a.round_num, a.event_seq, b.event_seq AS near_seq, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS apart,
-row_number() OVER (PARTITION BY a.event_seq ORDER BY sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), b.event_seq) AS nth FROM ticks a JOIN ticks b ON a.round_num = b.round_num AND a.side <> b.side) WHERE nth = 1""")
+@on_session("""SELECT match_id, round_num, tick, player, foe, round(apart, 4) AS apart FROM (SELECT a.match_id, a.round_num, a.tick, a.player, b.player AS foe, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS apart,
+row_number() OVER (PARTITION BY a.round_num, a.tick, a.player ORDER BY sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)), b.player) AS nth FROM states a JOIN states b ON a.round_num = b.round_num AND a.tick = b.tick AND a.side <> b.side WHERE a.alive AND b.alive) WHERE nth = 1""")
 def nearest_enemy(s: Session) -> DataFrame:
-    a = s.ticks.select(*ROUND, "event_seq", "side", "x", "y", "z")
-    b = s.ticks.select(*ROUND, F.col("event_seq").alias("near_seq"), F.col("side").alias("b_side"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("z").alias("bz"))
-    pairs = a.join(b, ROUND).where("side <> b_side").withColumn("apart", distance((F.col("x"), F.col("bx")), (F.col("y"), F.col("by")), (F.col("z"), F.col("bz"))))
-    best = pairs.groupBy(*ROUND, "event_seq").agg(F.min(F.struct("apart", "near_seq")).alias("m"))
-    return best.select(*ROUND, "event_seq", "m.near_seq", F.round("m.apart", 4).alias("apart"))
+    """The nearest living enemy of each living player at the same tick."""
+    return nearest_foe(s).select(*ROUND, "tick", "player", "foe", F.round("apart", 4).alias("apart"))
+
+
+def nearest_foe(s: Session) -> DataFrame:
+    """(match_id, round_num, tick, player, foe, apart, fx, fy, fz): round and tick are equal keys, so that no more than five enemies meet."""
+    a = s.states.where("alive").select(*ROUND, "tick", "player", "side", "x", "y", "z")
+    b = a.select(*ROUND, "tick", F.when(F.col("side") == "t", "ct").otherwise("t").alias("side"), F.col("player").alias("foe"), *[F.col(c).alias(f"f{c}") for c in "xyz"])
+    apart = distance(*[(F.col(c), F.col(f"f{c}")) for c in "xyz"])
+    best = a.join(b, [*ROUND, "tick", "side"]).groupBy(*ROUND, "tick", "player").agg(F.min(F.struct(apart.alias("apart"), "foe", "fx", "fy", "fz")).alias("m"))
+    return best.select(*ROUND, "tick", "player", "m.*")
 
 
 @on_session(""", d AS (SELECT b.match_id, b.round_num, b.event_seq, s.event_seq AS cause, abs(b.tick - s.tick) AS gap FROM blinds b JOIN shots s ON b.round_num = s.round_num AND abs(b.tick - s.tick) <= 300),
@@ -190,16 +197,15 @@ f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY round_num, side O
 
 
 @on_session(CLUTCH_SQL + """SELECT f.match_id, f.round_num, f.side, p.player, f.foes::BIGINT AS foes, f.tick AS start_tick, (r.winner = f.side)::BIGINT AS won FROM f JOIN rounds r USING (match_id, round_num)
-JOIN (SELECT match_id, round_num, i AS player, CASE WHEN i < 5 THEN 't' ELSE 'ct' END AS side FROM rounds, range(10) g(i)) p ON p.round_num = f.round_num AND p.side = f.side
+JOIN roster p ON p.round_num = f.round_num AND p.side = f.side
 WHERE NOT EXISTS (FROM a WHERE a.round_num = f.round_num AND a.victim = p.player AND (a.tick, a.event_seq) <= (f.tick, f.event_seq))""")
 def clutches(s: Session) -> DataFrame:
     alive = alive_counts.of(s).join(s.kills.select("event_seq", "tick"), "event_seq")
     sides = F.explode(F.array(F.struct(F.lit("t").alias("side"), F.col("alive_t").alias("own"), F.col("alive_ct").alias("foes")), F.struct(F.lit("ct").alias("side"), F.col("alive_ct").alias("own"), F.col("alive_t").alias("foes"))))
     moments = alive.select(*ROUND, "tick", "event_seq", sides.alias("s")).where("s.own = 1 and s.foes >= 1").select(*ROUND, "tick", "event_seq", "s.side", "s.foes")
     begun = first_by(moments, [*ROUND, "side"], "tick", "event_seq")
-    players = s.rounds.select(*ROUND, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))).alias("player")).withColumn("side", F.when(F.col("player") < 5, "t").otherwise("ct"))
     dead = first_by(s.kills, [*ROUND, "victim"], "tick", "event_seq").select(*ROUND, F.col("victim").alias("player"), F.col("tick").alias("d_tick"), F.col("event_seq").alias("d_seq"))
-    last = begun.join(players, [*ROUND, "side"]).join(dead, BY, "left").where(F.col("d_tick").isNull() | (F.struct("d_tick", "d_seq") > F.struct("tick", "event_seq")))
+    last = begun.join(s.roster, [*ROUND, "side"]).join(dead, BY, "left").where(F.col("d_tick").isNull() | (F.struct("d_tick", "d_seq") > F.struct("tick", "event_seq")))
     return last.join(s.rounds.select(*ROUND, "winner"), ROUND).select(*ROUND, "side", "player", "foes", F.col("tick").alias("start_tick"), (F.col("winner") == F.col("side")).cast("long").alias("won"))
 
 
@@ -234,28 +240,23 @@ def rank_with_nulls(s: Session) -> DataFrame:
     return rows.select(*BY, "event_seq", masked_rank(ROUND, "duration").cast("long").alias("rk"))
 
 
-@on_session(""", p AS (SELECT r.round_num, r.player, r.side, avg(t.x) AS x, avg(t.y) AS y FROM roster r JOIN ticks t USING (round_num, player) GROUP BY 1, 2, 3)
-SELECT a.round_num, a.player, round(min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2)), 4) AS nearest_mate, (min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2)) > 60)::BIGINT AS isolated FROM p a JOIN p b ON a.round_num = b.round_num AND a.side = b.side AND a.player <> b.player GROUP BY 1, 2""")
+@on_session(""", n AS (SELECT a.match_id, a.round_num, a.tick, a.player, min(sqrt((a.x-b.x)**2 + (a.y-b.y)**2)) AS d FROM states a JOIN states b ON a.round_num = b.round_num AND a.tick = b.tick AND a.side = b.side AND a.player <> b.player WHERE a.alive AND b.alive GROUP BY 1, 2, 3, 4)
+SELECT match_id, round_num, player, round(avg(d), 4) AS nearest_mate, round(avg((d > 60)::INT), 4) AS alone, (avg((d > 60)::INT) >= 0.5)::BIGINT AS isolated FROM n GROUP BY 1, 2, 3""")
 def isolation(s: Session) -> DataFrame:
-    p = s.ticks.groupBy("round_num", "player", "side").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-    q = p.select("round_num", "side", F.col("player").alias("mate"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    near = p.join(q, ["round_num", "side"]).where("player <> mate").groupBy("round_num", "player").agg(F.min(distance((F.col("x"), F.col("bx")), (F.col("y"), F.col("by")))).alias("d"))
-    return near.select("round_num", "player", F.round("d", 4).alias("nearest_mate"), (F.col("d") > 60).cast("long").alias("isolated"))
+    """The mean distance to the nearest living mate over a round's ticks, and the share of them without a mate near."""
+    return mate_distances(s).groupBy(*BY).agg(F.round(F.avg("d"), 4).alias("nearest_mate"), F.round(F.avg((F.col("d") > 60).cast("int")), 4).alias("alone"), (F.avg((F.col("d") > 60).cast("int")) >= 0.5).cast("long").alias("isolated"))
 
 
-@on_session("""SELECT match_id, round_num, player, round(avg(d), 4) AS mean_apart, round(max(d), 4) AS most_apart, count(DISTINCT place) AS places FROM (SELECT *, sqrt((x - avg(x) OVER w) ** 2 + (y - avg(y) OVER w) ** 2) AS d FROM ticks WINDOW w AS (PARTITION BY match_id, round_num, side)) GROUP BY 1, 2, 3""")
-def position_profile(s: Session) -> DataFrame:
-    w = Window.partitionBy(*ROUND, "side")
-    rows = s.ticks.withColumn("d", distance((F.col("x"), F.avg("x").over(w)), (F.col("y"), F.avg("y").over(w))))
-    return rows.groupBy(*BY).agg(F.round(F.avg("d"), 4).alias("mean_apart"), F.round(F.max("d"), 4).alias("most_apart"), F.count_distinct("place").alias("places"))
+def mate_distances(s: Session) -> DataFrame:
+    """(match_id, round_num, tick, player, d): the distance to the nearest living mate at each tick; who is the last alive has none."""
+    a = s.states.where("alive").select(*ROUND, "tick", "player", "side", "x", "y")
+    b = a.select(*ROUND, "tick", "side", F.col("player").alias("mate"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    return a.join(b, [*ROUND, "tick", "side"]).where("player <> mate").groupBy(*ROUND, "tick", "player").agg(F.min(distance((F.col("x"), F.col("bx")), (F.col("y"), F.col("by")))).alias("d"))
 
 
-@on_session(""", b AS (SELECT k.*, 1.0 / (1 + exp(-(0.4 * (ta - ca)))) AS p FROM (SELECT match_id, round_num, event_seq, tick, attacker_side, 5 - sum((victim_side = 't')::INT) OVER w AS ta, 5 - sum((victim_side = 'ct')::INT) OVER w AS ca FROM kills WINDOW w AS (PARTITION BY match_id, round_num ORDER BY tick, event_seq ROWS UNBOUNDED PRECEDING)) k)
-SELECT match_id, round_num, event_seq, round(p, 6) AS p_after, round(p - coalesce(lag(p) OVER (PARTITION BY match_id, round_num ORDER BY tick, event_seq), 0.5), 6) AS delta FROM b""")
-def win_probability_deltas(s: Session) -> DataFrame:
-    order = ["tick", "event_seq"]
-    lost = lambda side: running(ROUND, order, (F.col("victim_side") == side).cast("int"))
-    rows = s.kills.withColumn("p", logistic(F.lit(0.4) * (lost("ct") - lost("t"))))
-    before = F.coalesce(F.lag("p").over(Window.partitionBy(*ROUND).orderBy(*order)), F.lit(0.5))
-    return rows.select(*ROUND, "event_seq", F.round("p", 6).alias("p_after"), F.round(F.col("p") - before, 6).alias("delta"))
-
+@on_session("""SELECT match_id, round_num, player, round(avg(d), 4) AS mean_apart, round(max(d), 4) AS most_apart, count(DISTINCT place) AS places FROM (SELECT *, sqrt((x - avg(x) OVER w) ** 2 + (y - avg(y) OVER w) ** 2) AS d FROM states WHERE alive WINDOW w AS (PARTITION BY match_id, round_num, tick, side)) GROUP BY 1, 2, 3""")
+def position_profile(s: Session) -> DataFrame:
+    """How far a player is from the centre of the living side at each tick, and how many places the player was in."""
+    w = Window.partitionBy(*ROUND, "tick", "side")
+    rows = s.states.where("alive").withColumn("d", distance((F.col("x"), F.avg("x").over(w)), (F.col("y"), F.avg("y").over(w))))
+    return rows.groupBy(*BY).agg(F.round(F.avg("d"), 4).alias("mean_apart"), F.round(F.max("d"), 4).alias("most_apart"), F.count_distinct("place").alias("places"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import hashlib
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,11 +55,25 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType | None = None
 
 
 def discovered(spark: SparkSession, folder: str, pattern: str, seen: DataFrame | None = None, edge: int = 4 << 20) -> DataFrame:
-    """(path, length, fingerprint): files whose size and both ends aren't among the fingerprints seen, one of each."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-    head, tail = F.substring("content", 1, edge), F.expr(f"substring(content, greatest(1, cast(length as int) - {edge} + 1), {edge})")
-    digest = F.substring(F.sha2(F.concat(F.encode(F.col("length").cast("string"), "UTF-8"), head, tail), 256), 1, 20)
-    found = first_by(files.select("path", "length", digest.alias("fingerprint")), ["fingerprint"], "path")
+    """(path, length, fingerprint): files whose size and both ends aren't among the fingerprints seen, one of each.
+
+    Names and sizes are listed without the contents; of each file only both ends are read, where it is fingerprinted.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder).select("path", "length")
+
+    def fingerprints(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                system, inner = fs.FileSystem.from_uri(path)
+                with system.open_input_file(inner) as f:
+                    head = f.read(edge)
+                    f.seek(max(0, length - edge))
+                    tail = f.read(edge)
+                found.append(hashlib.sha256(str(length).encode() + head + tail).hexdigest()[:20])
+            yield batch.assign(fingerprint=found)
+
+    found = first_by(files.mapInPandas(fingerprints, "path string, length long, fingerprint string"), ["fingerprint"], "path")
     return found if seen is None else found.join(seen.select("fingerprint"), "fingerprint", "left_anti")
 
 

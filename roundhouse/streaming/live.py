@@ -5,6 +5,7 @@ Event time is ts; state is bounded by the watermark. Each function takes a strea
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.sessions import shared_folder
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -23,7 +26,7 @@ def events(spark: SparkSession, folder: str, pattern: str = "events*.parquet", f
 
 def totals(df: DataFrame, late: str = "10 minutes", window: str = "4 hours") -> DataFrame:
     """Counts and sums by window, player and type."""
-    player = (F.col("user_id") % 10).alias("player")
+    player = F.col("user_id").alias("player")
     return df.withWatermark("ts", late).groupBy(F.window("ts", window).alias("w"), player, "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "player", "event_type", "n", "total")
 
 
@@ -76,7 +79,13 @@ def limited(df: DataFrame, most: int, seconds: int, jump: int = 1000, late: str
 
 
 def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """All that a stream gives of what is there now, as a table in memory (for tests and small streams)."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """All that a stream gives of what is there now, as a table of files in the folder of spark.checkpoint.dir, where its state and offsets are too."""
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
+    if mode == "append":
+        q = out.format("parquet").option("path", f"{folder}/rows").start()
+    else:  # each batch gives the whole result anew
+        q = out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{folder}/rows")).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
