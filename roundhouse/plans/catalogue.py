@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chances, combat, economy, live, mistakes, places, rounds, selection, standing, timing
+from . import chances, combat, economy, live, mistakes, places, roles, rounds, selection, standing, timing
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "chances", "combat", "economy", "live", "mistakes", "places", "rounds", "selection", "standing", "timing"]
+__all__ = ["QUERIES", "SQL", "chances", "combat", "economy", "live", "mistakes", "places", "roles", "rounds", "selection", "standing", "timing"]

@@ -40,14 +40,14 @@ def area_shares(s: Session) -> DataFrame:
 
 
 @on_session(SHARES_SQL + """, c AS (SELECT match_id, player, area, count(*) AS n FROM hm GROUP BY 1, 2, 3), k AS (SELECT *, rank() OVER (PARTITION BY match_id, player ORDER BY n DESC) AS rk FROM c), a AS (SELECT match_id, player, CASE WHEN count(*) = 1 THEN any_value(area) END AS anchor FROM k WHERE rk = 1 GROUP BY 1, 2)
-SELECT a.match_id, a.player, a.anchor, count(*) FILTER (hm.area <> a.anchor) AS rotated, round(avg(hm.share) FILTER (hm.area = a.anchor), 4) AS held FROM a JOIN hm USING (match_id, player) GROUP BY 1, 2, 3""")
+SELECT a.match_id, a.player, a.anchor, count(*) FILTER (hm.area <> a.anchor) AS rotated, round(avg(hm.share) FILTER (hm.area = a.anchor) + 1e-9::DOUBLE, 4) AS held FROM a JOIN hm USING (match_id, player) GROUP BY 1, 2, 3""")
 def anchors(s: Session) -> DataFrame:
     """The area a player mostly is in (none if tied), rounds elsewhere, and the share of time held in rounds there."""
     h = homes(s)
     a = majority(h, ["match_id", "player"], "area", "anchor")
     there = F.col("area") == F.col("anchor")
     out = h.join(a, ["match_id", "player"]).groupBy("match_id", "player", "anchor")
-    return out.agg(F.count_if(~there).alias("rotated"), F.round(F.avg(F.when(there, F.col("share"))), 4).alias("held"))
+    return out.agg(F.count_if(~there).alias("rotated"), F.round(F.avg(F.when(there, F.col("share"))) + 1e-9, 4).alias("held"))
 
 
 @on_session(SHARES_SQL + """, m AS (SELECT a.match_id, a.round_num, a.player, a.area AS own, b.area, count(*) AS n FROM hm a JOIN hm b ON a.round_num = b.round_num AND a.side = b.side AND a.player <> b.player GROUP BY ALL), k AS (SELECT *, rank() OVER (PARTITION BY round_num, player ORDER BY n DESC) AS rk FROM m),

@@ -163,17 +163,6 @@ def chance_of_headshots(s: Session) -> DataFrame:
     return f.withColumn("tail", F.round(binomial_tail(F.col("n"), F.col("k"), 1 / 3.0), 5))
 
 
-@on_session(""", q AS (SELECT match_id, attacker AS player, sum(CASE WHEN weapon = 'sniper' THEN 1 ELSE 0 END) / count(*) AS sniper, sum(headshot) / count(*) AS head, count(*)::DOUBLE AS kills FROM kills GROUP BY 1, 2)
-SELECT match_id, trait, player, round(value, 4) AS value FROM (SELECT *, rank() OVER (PARTITION BY match_id, side, trait ORDER BY value DESC) AS rk FROM (SELECT match_id, player, CASE WHEN player % 10 < 5 THEN 't' ELSE 'ct' END AS side, unnest(['sniper', 'head', 'frag']) AS trait, unnest([sniper, head, kills]) AS value, unnest([0.1, 0.3, 20.0]) AS least, kills FROM q)
-WHERE true QUALIFY rk = 1) WHERE value >= least AND kills >= 8""")
-def traits(s: Session) -> DataFrame:
-    q = s.kills.groupBy("match_id", F.col("attacker").alias("player")).agg(ratio(F.count_if(F.col("weapon") == "sniper"), F.count(F.lit(1))).alias("sniper"), ratio(F.sum("headshot"), F.count(F.lit(1))).alias("head"), F.count(F.lit(1)).cast("double").alias("frag"))
-    spec = {"sniper": 0.1, "head": 0.3, "frag": 20.0}
-    long = q.withColumn("side", F.when(F.col("player") % 10 < 5, "t").otherwise("ct")).select("match_id", "side", "player", F.col("frag").alias("kills"), F.explode(F.array(*[F.struct(F.lit(t).alias("trait"), F.col(t).alias("value"), F.lit(least).alias("least")) for t, least in spec.items()])).alias("x")).select("*", "x.*")
-    top = long.withColumn("rk", F.rank().over(Window.partitionBy("match_id", "side", "trait").orderBy(F.desc("value")))).where("rk = 1 and value >= least and kills >= 8")
-    return top.select("match_id", "trait", "player", F.round("value", 4).alias("value"))
-
-
 @on_session(""", c AS (SELECT match_id, round_num, side, player, k % 4 AS class FROM ev), n AS (SELECT match_id, round_num, side, class, count(*) AS n FROM c GROUP BY ALL), m AS (SELECT *, rank() OVER (PARTITION BY match_id, round_num, side ORDER BY n DESC) AS rk FROM n),
 wt AS (SELECT match_id, round_num, side, class, 1.0 / count(*) OVER (PARTITION BY match_id, round_num, side) AS weight FROM m WHERE rk = 1)
 SELECT a.class AS own, b.class AS other, round(sum(a.weight * b.weight), 4) AS weight, round(sum(a.weight * b.weight * (r.winner = 't')::INT) / sum(a.weight * b.weight), 4) AS rate FROM wt a JOIN wt b ON a.round_num = b.round_num AND a.side = 't' AND b.side = 'ct' JOIN rounds r ON r.round_num = a.round_num GROUP BY 1, 2""")

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -37,12 +38,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def layer(spark: SparkSession, sf_dir: str, name: str, df: DataFrame) -> DataFrame:
-    """df as a table that is written once in an application, in ranges of matches, and read from then on."""
+def layer(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFrame], order: Sequence[str] = ("match_id", "round_num", "tick")) -> DataFrame:
+    """What make gives, as a table that is written once in an application, in ranges of matches, and read from then on."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _layers:
+        df = make()
         path = f"{shared_folder(spark)}/session-{name}-{uuid.uuid4().hex}"
-        df.repartitionByRange("match_id").sortWithinPartitions("match_id", "round_num", "tick").write.parquet(path)
+        df.repartitionByRange("match_id").sortWithinPartitions(*order).write.parquet(path)
         _layers[key] = spark.read.schema(df.schema).parquet(path)
     return _layers[key]
 
@@ -83,7 +85,7 @@ class Session:
             F.col("event_id").cast("long").alias("event_seq"), F.col("user_id").cast("long").alias("player"), side_of(F.col("user_id"), nth).alias("side"),
             F.get_json_object("props", "$.k").cast("long").alias("k"), "value", "event_type",
         )
-        return layer(self.spark, self.sf_dir, "ev", rows)
+        return layer(self.spark, self.sf_dir, "ev", lambda: rows)
 
     def _of(self, kind: str) -> DataFrame:
         return self.ev.where(F.col("event_type") == kind)
@@ -177,7 +179,7 @@ class Session:
         slot = F.col("player") % SLOTS
         start = {"x": slot * 10.0, "y": slot * 5.0, "z": F.lit(0.0), "place": F.lit("p0"), "yaw": F.lit(0.0), "pitch": F.lit(0.0), "weapon": F.lit("pistol")}
         rows = last.join(deaths, [*ROUND, "player"], "left").select(*ROUND, "player", "side", "tick", *[F.coalesce(f"r_{c}", start[c]).alias(c) for c in take], (F.col("died").isNull() | (F.col("died") > F.col("tick"))).alias("alive"))
-        return layer(self.spark, self.sf_dir, "states", rows)
+        return layer(self.spark, self.sf_dir, "states", lambda: rows)
 
 
 def session(spark: SparkSession, sf_dir: str) -> Session:
