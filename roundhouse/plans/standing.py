@@ -140,16 +140,6 @@ def mean_directions(s: Session) -> DataFrame:
     return some.withColumn("yaw", F.round("yaw", 4))
 
 
-@on_session("""SELECT a.event_seq, round(abs(((a.yaw - degrees(atan2(b.y - a.y, b.x - a.x)) + 180) % 360 + 360) % 360 - 180), 4) AS off_yaw, round(-degrees(atan2(b.z - a.z, sqrt((b.x-a.x)**2 + (b.y-a.y)**2))), 4) AS pitch,
-round(0.4 * greatest(0, least(1, (20 - abs(a.pitch)) / 15.0)) + 0.6 * greatest(0, least(1, (60 - abs(((a.yaw - degrees(atan2(b.y - a.y, b.x - a.x)) + 180) % 360 + 360) % 360 - 180)) / 50.0)), 4) AS aim FROM ticks a JOIN ticks b ON a.round_num = b.round_num AND b.event_seq = a.event_seq + 1""")
-def aim_scores(s: Session) -> DataFrame:
-    b = s.ticks.select(*ROUND, (F.col("event_seq") - 1).alias("event_seq"), *[F.col(c).alias(f"b{c}") for c in "xyz"])
-    dx, dy, dz = (F.col(f"b{c}") - F.col(c) for c in "xyz")
-    off = yaw_difference(F.col("yaw"), yaw_to(dx, dy))
-    score = 0.4 * ramp(F.abs(F.col("pitch")), 20, 5) + 0.6 * ramp(off, 60, 10)
-    return s.ticks.join(b, [*ROUND, "event_seq"]).select("event_seq", F.round(off, 4).alias("off_yaw"), F.round(pitch_to(distance((dx, F.lit(0.0)), (dy, F.lit(0.0))), dz), 4).alias("pitch"), F.round(score, 4).alias("aim"))
-
-
 @on_session(""", v AS (SELECT event_seq, cos(radians(pitch)) * cos(radians(yaw)) AS a, cos(radians(pitch)) * sin(radians(yaw)) AS b, -sin(radians(pitch)) AS c FROM ticks)
 SELECT event_seq, round(degrees(acos(greatest(-1, least(1, a / sqrt(a * a + b * b + c * c))))), 3) AS angle FROM v""")
 def view_angles(s: Session) -> DataFrame:
