@@ -63,6 +63,19 @@ def resampled(df: DataFrame, keys: Sequence[str], time: str, order: str, values:
     return asof(grid, df, keys, time, values, [order]).select(*keys, time, *[F.col(f"r_{v}").alias(v) for v in values])
 
 
+def hysteresis(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, leave: float, back: float) -> DataFrame:
+    """(keys, trip, first, last): runs of rows outside, which begin beyond leave and end within back; places in order, from 0. A run that never comes back ends at the last row.
+
+    What is between both keeps the state of the row before it: the last row that said anything.
+    """
+    w = ordered(keys, order)
+    said = F.when(F.col(value) > leave, 1).when(F.col(value) <= back, 0)
+    rows = df.select(*keys, (F.row_number().over(w) - 1).cast("long").alias("_at"), F.coalesce(F.last(said, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)).alias("_out"))
+    runs = islands(rows, keys, ["_at"], ~F.col("_out").eqNullSafe(F.lag("_out").over(ordered(keys, ["_at"]))), "_run").where("_out = 1")
+    found = runs.groupBy(*keys, "_run").agg(F.min("_at").alias("first"), F.max("_at").alias("last"))
+    return found.withColumn("trip", (F.row_number().over(ordered(keys, ["first"])) - 1).cast("long")).select(*keys, "trip", "first", "last")
+
+
 def segments(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str) -> DataFrame:
     """Run lengths: each run of equal values with its first and last place and length."""
     w = ordered(keys, order)

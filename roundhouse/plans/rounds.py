@@ -9,8 +9,10 @@ from ..functions.compat import first_by, ratio
 from ..operators import grouped, oplog
 from ..operators.joins import asof
 from ..operators.models import resamples
+from ..operators.sequences import hysteresis
 from ..sources.sessions import ROUND, Session, first_side, nth_round
 from .combat import BY
+from .places import travel_times
 from .registry import on_session, query
 
 # ---- cleaning
@@ -141,9 +143,11 @@ def speed_modes(s: Session) -> DataFrame:
     return grouped.linear_modes(s.ticks, ["side"], "x")
 
 
-@on_session()
+@on_session(""", n AS (SELECT match_id, player, row_number() OVER q - 1 AS pos, coalesce(last_value(CASE WHEN x > 60 THEN 1 WHEN x <= 30 THEN 0 END IGNORE NULLS) OVER (PARTITION BY match_id, player ORDER BY round_num, tick, event_seq ROWS UNBOUNDED PRECEDING), 0) AS out_ FROM ticks WINDOW q AS (PARTITION BY match_id, player ORDER BY round_num, tick, event_seq)),
+c AS (SELECT *, sum(d) OVER (PARTITION BY match_id, player ORDER BY pos ROWS UNBOUNDED PRECEDING) AS run FROM (SELECT *, CASE WHEN out_ <> coalesce(lag(out_) OVER (PARTITION BY match_id, player ORDER BY pos), -1) THEN 1 ELSE 0 END AS d FROM n))
+SELECT match_id, player, row_number() OVER (PARTITION BY match_id, player ORDER BY min(pos)) - 1 AS trip, min(pos) AS first, max(pos) AS last FROM c WHERE out_ = 1 GROUP BY match_id, player, run""")
 def trips_outside(s: Session) -> DataFrame:
-    return grouped.hysteresis(s.ticks, ["match_id", "player"], ["round_num", "tick", "event_seq"], "x", 60.0, 30.0)
+    return hysteresis(s.ticks, ["match_id", "player"], ["round_num", "tick", "event_seq"], "x", 60.0, 30.0)
 
 
 @on_session()
@@ -162,13 +166,15 @@ def official_times(s: Session) -> DataFrame:
     return grouped.greedy_latest(both, BY, "want", "have", 900)
 
 
-@on_session()
+@on_session(""", v AS (SELECT *, lead(place) OVER q AS next_place, lead(tick) OVER q AS next_tick FROM ticks WINDOW q AS (PARTITION BY match_id, round_num, player ORDER BY tick, event_seq)),
+e AS (SELECT place AS a, next_place AS b, median(next_tick - tick) AS cost FROM v WHERE place <> next_place AND next_tick - tick <= 3000 GROUP BY 1, 2 HAVING count(*) >= 20 AND count(DISTINCT match_id) >= 3), pl AS (SELECT DISTINCT place FROM ticks),
+r AS (SELECT place AS a, place AS b, 0.0::DOUBLE AS cost, 0 AS hops FROM pl UNION ALL SELECT r.a, e.b, r.cost + e.cost, r.hops + 1 FROM r JOIN e ON e.a = r.b WHERE r.hops < 4)
+SELECT x.place AS a, y.place AS b, min((cost, hops))[1] AS cost, min((cost, hops))[2]::BIGINT AS hops FROM pl x CROSS JOIN pl y LEFT JOIN r ON r.a = x.place AND r.b = y.place GROUP BY 1, 2""", recursive=True)
 def place_routes(s: Session) -> DataFrame:
-    """Cheapest ways between places over a ring of eight with two short cuts."""
-    edges = [(i, (i + d) % 8, 1.0) for i in range(8) for d in (1, 7)] + [(0, 4, 1.5), (4, 0, 1.5)]
-    place = F.substring("place", 2, 1).cast("long")
-    pairs = s.ticks.select(place.alias("a")).distinct().crossJoin(s.ticks.select(place.alias("b")).distinct())  # eight places each
-    return grouped.shortest_paths(pairs, edges, "a", "b")
+    """Quickest ways between places over the links that enough tracks take, at their median times; places are few, so their pairs and links are too."""
+    edges = [(r["place"], r["next_place"], float(r["p50"])) for r in travel_times.of(s).select("place", "next_place", "p50").collect()]
+    places = s.ticks.select(F.col("place").alias("a")).distinct()
+    return grouped.shortest_paths(places.crossJoin(F.broadcast(places.select(F.col("a").alias("b")))), edges, "a", "b")
 
 
 @on_session(""", u AS (SELECT match_id, round_num, row_number() OVER (PARTITION BY match_id ORDER BY round_num) AS nth, count(*) OVER (PARTITION BY match_id) AS n FROM rounds), dr AS (SELECT match_id, resample, n, ('0x' || substr(md5('7:' || match_id || ':' || resample || ':' || nth), 1, 12))::BIGINT % n + 1 AS nth FROM u, range(50) g(resample)),

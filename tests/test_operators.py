@@ -75,6 +75,39 @@ def test_damage_cap(spark):
     assert got == [79.0, 21.0, 30.0]
 
 
+def test_damage_cap_by_tick(spark):
+    """Of several hits of a tick only what the victim had counts; the next tick begins anew."""
+    hits = spark.createDataFrame([(1, 1, 60.0, 100.0), (1, 2, 60.0, 100.0), (1, 3, 5.0, 100.0), (2, 4, 30.0, 20.0)], "t long, q long, d double, hp double")
+    got = [r["c"] for r in sequences.capped(hits, ["t"], ["q"], "d", F.col("hp"), "c").orderBy("t", "q").collect()]
+    assert got == [60.0, 40.0, 0.0, 20.0]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_modes_and_matching_by_brute_force(spark, seed):
+    rng = random.Random(seed)
+    angles = [float(rng.choice([350, 0, 10, 90, 95, 180]) + rng.randint(-8, 8)) % 360.0 for _ in range(60)]
+    got = [r["n"] for r in grouped.angular_modes(spark.createDataFrame([("p", a) for a in angles], "k string, yaw double"), ["k"], "yaw").orderBy("mode").collect()]
+    left, want = sorted(angles), []
+    while left:
+        inside = max(([b for b in left if abs((a - b + 180) % 360 - 180) <= 20] for a in left), key=len)
+        if len(inside) < 4:
+            break
+        want.append(len(inside))
+        for b in inside:
+            left.remove(b)
+    assert got == want
+    wanted, free = sorted(rng.sample(range(100), 15)), sorted(rng.sample(range(100), 20))
+    rows = [("a", w, None) for w in wanted] + [("a", None, h) for h in free]
+    got = {r["want"]: r["have"] for r in grouped.greedy_latest(spark.createDataFrame(rows, "k string, want long, have long"), ["k"], "want", "have", 6).collect()}
+    expected, left = {}, list(free)
+    for w in wanted:
+        fit = [h for h in left if w - 6 <= h <= w]
+        expected[w] = fit[-1] if fit else None
+        if fit:
+            left.remove(fit[-1])
+    assert got == expected
+
+
 def test_ranks(spark):
     df = spark.createDataFrame([(1, 1, 2.0), (1, 2, 2.0), (1, 3, None), (1, 4, 5.0), (2, 5, 1.0), (2, 6, None)], "k long, q long, v double")
     got = {r["q"]: (r["r"], r["a"]) for r in df.withColumn("r", compat.masked_rank(["k"], "v")).withColumn("a", compat.average_rank(["k"], "v")).collect()}
@@ -102,8 +135,9 @@ def test_scalars(spark):
 def test_quantiles(spark):
     values = [5.0, 1.0, 3.0, 2.0, 9.0, 9.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    for q in (0.0, 0.25, 0.5, 0.75, 1.0):
-        assert df.agg(compat.nearest_quantile("v", q)).first()[0] == sorted(values)[round((len(values) - 1) * q)]
+    points = (0.0, 0.25, 0.5, 0.75, 1.0)
+    got = {r["point"]: r["value"] for r in compat.nearest_quantiles(df.union(df.limit(0).selectExpr("cast(null as double)")), [], "v", points).collect()}
+    assert got == {i: sorted(values)[round((len(values) - 1) * q)] for i, q in enumerate(points)}
     ref = F.array(*[F.lit(v) for v in sorted(values)])
     got = spark.createDataFrame([(x,) for x in (0.0, 3.0, 9.0, None)], "x double").select(compat.share_at_most(ref, F.col("x"))).collect()
     assert [r[0] for r in got] == [0.0, 0.5, 1.0, 0.0]
@@ -185,7 +219,7 @@ def test_grouped(spark):
     got = sorted(((r["yaw"] + 1.0) % 360.0, r["n"]) for r in grouped.angular_modes(yaw, ["k"], "yaw").collect())
     assert [n for _, n in got] == [4, 4] and [y for y, _ in got] == pytest.approx([0.75, 182.5], abs=0.01)
     line = spark.createDataFrame([("a", t, x) for t, x in enumerate([0, 70, 50, 20, 80, 90])], "k string, t long, x long")
-    assert [(r["first"], r["last"]) for r in grouped.hysteresis(line, ["k"], ["t"], "x", 60, 30).orderBy("trip").collect()] == [(1, 2), (4, 5)]
+    assert [(r["first"], r["last"]) for r in sequences.hysteresis(line, ["k"], ["t"], "x", 60, 30).orderBy("trip").collect()] == [(1, 2), (4, 5)]
     track = spark.createDataFrame([("a", t, float(t if t <= 5 else 10 - t), 0.0) for t in range(11)], "k string, t long, x double, y double")
     assert sorted(r["t"] for r in grouped.simplified(track, ["k"], "t", ["x", "y"], 0.5).collect()) == [0, 5, 10]
     throw = spark.createDataFrame([("a", float(t), 3.0 + 2 * t - t * t) for t in range(5)] + [("b", 1.0, 1.0)], "k string, t double, z double")
@@ -215,8 +249,13 @@ def test_models(spark):
     assert sorted(round(c[0] / 10) for c in centres) == [0, 1, 2] and score > 0.9
     z = models.standardised(df, ["x"]).agg(F.avg("x"), F.stddev_pop("x")).first()
     assert z[0] == pytest.approx(0, abs=1e-9) and z[1] == pytest.approx(1)
-    draws = models.resamples(df.select((F.monotonically_increasing_id() % 7).alias("u")), "u", 20, 1)
-    assert {r["n"] for r in draws.groupBy("resample").agg(F.sum("multiplicity").alias("n")).collect()} == {7}
+    units = spark.createDataFrame([(g, u) for g in (1, 2) for u in range(7)], "g long, u long")
+    draws = models.resamples(units, ["g"], "u", 20, 1)
+    assert {r["n"] for r in draws.groupBy("g", "resample").agg(F.sum("multiplicity").alias("n")).collect()} == {7}
+    often = models.poisson_resamples(units, ["g", "u"], 300, 1).agg(F.sum("times")).first()[0]
+    assert often == pytest.approx(14 * 300, rel=0.05)
+    folds = models.left_out(df.withColumn("fold", (F.monotonically_increasing_id() % 3)), ["x", "y"], "z", "fold").collect()
+    assert len(folds) == 6 and all(r["error"] < 1e-6 and r["weight"] == pytest.approx({"x": 2.0, "y": 0.5}[r["feature"]], abs=1e-6) for r in folds)
 
 
 # ---- sources
