@@ -166,7 +166,9 @@ PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFi
 def predict(docs: DataFrame, filters: Filters, text: str = "text", keep_text: bool = True) -> DataFrame:
     """docs with lang_pred and lang_score (0 to 1). Texts that are null or have no letter are "und" with score 0.
 
-    Of languages with equal hits the first in code point order is taken. Whole texts count; other columns pass through.
+    Of languages with equal hits the first in code point order is taken. Whole texts count. All rows stay, repeated ones and those
+    of null keys too; other columns pass through, and columns of the new names are replaced. An empty table gives no rows; filters
+    of no language make every text undetermined.
     """
     shared = docs.sparkSession.sparkContext.broadcast(filters)
 

@@ -9,15 +9,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_batches, written
-from .vectors import dimension, drawn, matrix, squared, with_bytes
+from .vectors import by_length, drawn, matrix, squared, with_bytes
 
 #: Bytes of vectors that one task compares at a time: as many lists side by side, or part of a longer one. Queries are dealt to blocks.
 CELL_BYTES = 8 << 20
@@ -205,23 +206,32 @@ def _best(queries: pd.DataFrame, rows: pd.DataFrame, dim: int, k: int) -> pd.Dat
 def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 20, fit_vectors: int = 20_000, list_rows: int = 256, replicas: int = 2, border: float = 0.1, share: float = 0.97) -> DataFrame:
     """(query_id, rank, key, score): of each query its k nearest rows of df other than those with its own key, by inner product in double precision, ties to the least key.
 
-    queries has the columns of df. Vectors that are null, zero, hold null or non-finite components or are of another length than
-    most take no part on either side, and neither do null keys. Rows that repeat a key count once, with the best score. A query
+    queries has the columns of df. Vectors that are null, zero or hold null or non-finite components take no part on either side,
+    and neither do null keys; a query's candidates are the vectors of its length. Rows that repeat a key count once, with the best score. A query
     that has fewer than k others gets all that are found. Keys are whole numbers.
 
     The index is fitted on about fit_vectors rows by hash, and holds all rows: lists of about list_rows (as many as the sample
     can tell apart, 16 vectors to a list), longer ones split among tasks. share is the recall that the ratio is chosen for.
     """
+    bounded_batches(df.sparkSession)
+    asked = dict(by_length(queries, vector))
+    found = [_of_length(part, asked[dim], dim, key, vector, k, fit_vectors, list_rows, replicas, border, share) for dim, part in by_length(df, vector) if dim in asked]
+    return reduce(DataFrame.unionByName, found or [_none(df.sparkSession, key)])
+
+
+def _none(spark: SparkSession, key: str) -> DataFrame:
+    return spark.createDataFrame([], f"query_id long, rank int, `{key}` long, score double")
+
+
+def _of_length(df: DataFrame, queries: DataFrame, dim: int, key: str, vector: str, k: int, fit_vectors: int, list_rows: int, replicas: int, border: float, share: float) -> DataFrame:
+    """The same for vectors of one length."""
     spark = df.sparkSession
-    bounded_batches(spark)
-    dim = dimension(df, vector)
     rows = written(with_bytes(df.where(F.col(key).isNotNull()), key, vector, dim).where("vec is not null").withColumn("key", F.col("key").cast("long")))
     asked = with_bytes(queries.where(F.col(key).isNotNull()), key, vector, dim).where("vec is not null").withColumn("key", F.col("key").cast("long"))
-    schema = "query_id long, rank int, key long, score double"
     state = rows.agg(F.count(F.lit(1)), F.max("norm2")).first()
     n, most = state[0], state[1]
     if not n:
-        return spark.createDataFrame([], schema).withColumnRenamed("key", key)
+        return _none(spark, key)
     sample = drawn(rows, "key", n, fit_vectors, "postings").orderBy("key", "vec").select("vec", "norm2").collect() or rows.orderBy("key").limit(1).select("vec", "norm2").collect()
     x = lifted(matrix([bytes(r["vec"]) for r in sample], dim), np.array([r["norm2"] for r in sample]), most)
     lists = max(1, min(-(-n // list_rows), len(x) // 16 or 1))

@@ -151,7 +151,11 @@ SCORE = T.StructType([T.StructField("quality_score", T.DoubleType())])
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with quality_score (0 to 1), from the whole text; null and empty texts get the score of the bias alone."""
+    """docs with quality_score (0 to 1), from the whole text; null and empty texts get the score of the bias alone.
+
+    All rows stay, repeated ones and those of null keys too, and equal texts have equal scores; other columns pass through, and one
+    of the new name is replaced. An empty table gives no rows. A model of no labels gives one score to all.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def make():

@@ -12,6 +12,7 @@ import hashlib
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, dropped, written
 from .components import components
-from .vectors import centroids, dimension, drawn, matrix, squared, with_bytes
+from .vectors import by_length, centroids, drawn, matrix, squared, with_bytes
 
 #: Rows of a list that are held against each other in one task; longer lists are split.
 BLOCK = 4096
@@ -170,17 +171,23 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     """(key, n_links, component_id) of each row: rows link if their vectors' cosine, in double precision, is at least least.
 
     n_links counts the other rows that a row links with; component_id is the least key that links reach, the row's own included.
-    Vectors that are null, zero, hold null or non-finite components, or are of another length than most link with nothing. Rows
-    that repeat a key stay rows of their own. An empty table gives no rows.
+    Vectors that are null, zero or hold null or non-finite components link with nothing, and vectors of different lengths don't
+    link. Rows that repeat a key stay rows of their own; of null keys none is the least, unless there are no others. Other columns
+    play no part, whatever their names. An empty table gives no rows.
 
     Every pair that is compared is decided exactly, and all rows of a probed list are compared. margin says within how much of
     such a neighbour's distance a list's border is probed, from both sides: from 0.5 on no pair is lost, as one of the two is at
     most half their distance from the border between them. Less can lose pairs. The index is fitted on about fit_vectors vectors
     by hash, and holds all.
     """
+    bounded_batches(df.sparkSession)
+    found = [_of_length(part, dim, key, vector, least, margin, fit_vectors, lists, subspaces) for dim, part in by_length(df, vector)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def _of_length(df: DataFrame, dim: int, key: str, vector: str, least: float, margin: float, fit_vectors: int, lists: float, subspaces: int) -> DataFrame:
+    """The same for vectors of one length."""
     spark = df.sparkSession
-    bounded_batches(spark)
-    dim = dimension(df, vector)
     raw = with_bytes(df, key, vector, dim)
 
     def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -12,11 +12,17 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, unit_hash
 
 
-def dimension(df: DataFrame, vector: str) -> int:
-    """The most frequent length of the vectors that aren't null or empty; the least of equals. 0 if there are none."""
-    sizes = df.where(F.size(vector) > 0).groupBy(F.size(vector).alias("d")).agg(F.count(F.lit(1)).alias("n"))
-    row = sizes.orderBy(F.desc("n"), "d").first()
-    return row["d"] if row else 0
+def by_length(df: DataFrame, vector: str) -> list[tuple[int, DataFrame]]:
+    """The rows by the length of their vectors, each length a table of its own, as vectors of different lengths have no angle.
+
+    Null and empty vectors come with the first length (0, if there are no others). Lengths are few: how many a table has is all
+    that the driver asks.
+    """
+    size = F.coalesce(F.size(vector), F.lit(0))
+    lengths = sorted(r["d"] for r in df.select(size.alias("d")).where("d > 0").distinct().collect()) or [0]
+    if len(lengths) == 1:
+        return [(lengths[0], df)]
+    return [(d, df.where((size == d) | (size <= 0)) if i == 0 else df.where(size == d)) for i, d in enumerate(lengths)]
 
 
 def sound(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:

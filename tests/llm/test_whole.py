@@ -6,8 +6,10 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from roundhouse.llm import postings, quantized
+import corpus_pipeline
+from roundhouse.llm import jaccard, mixing, pieces, postings, quantized, secrets
 from roundhouse.llm.components import components
 
 
@@ -83,3 +85,42 @@ def test_planted_near_vectors(spark, n):
     close = (x @ x.T >= 0.9) & ~np.eye(n, dtype=bool)
     least = least_reached([*np.argwhere(close).tolist(), *((i, i) for i in range(n))])
     assert close.sum() > n // 4 and got == {i: (int(close[i].sum()), least[i]) for i in range(n)}
+
+
+def test_lengths_apart(spark):
+    """Vectors of several lengths link and are found among their own."""
+    rows = [(i, [1.0, 0.0, 0.01 * i]) for i in range(5)] + [(10 + i, [0.0, 1.0 + i]) for i in range(4)] + [(20, [1.0]), (40, [1.0]), (60, []), (61, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantized.near_duplicates(df).collect()}
+    assert got == {**{i: (4, 0) for i in range(5)}, **{10 + i: (3, 10) for i in range(4)}, 20: (1, 20), 40: (1, 20), 60: (0, 60), 61: (0, 61)}
+    near = {(r["query_id"], r["rank"]): r["vec_id"] for r in postings.nearest(df, df.where("vec_id in (0, 20, 60)")).collect()}
+    assert near == {(0, 1): 1, (0, 2): 2, (0, 3): 3, (0, 4): 4, (20, 1): 40}
+
+
+def test_texts_of_megabytes(spark):
+    """One text of some megabytes among small ones, and columns that clash with the operators' own."""
+    rng = random.Random(3)
+    long = " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(400_000))
+    texts = [long, long + " end", "a short text of six words", None]
+    df = spark.createDataFrame([(i, t, "en", f"s{i % 2}") for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    odd = df.withColumn("secret_spans", F.lit(1)).withColumn("component", F.lit(2)).withColumn("key", F.lit(3)).withColumn("mix_size", F.lit(4))
+    assert [r["mix_size"] for r in mixing.copies(odd).orderBy("doc_id").collect()] == [400_000, 400_001, 6, 0]
+    assert [(r["doc_id"], r["component_id"]) for r in jaccard.join(odd).orderBy("doc_id").collect()] == [(0, 0), (1, 0), (2, 2), (3, 3)]
+    assert [r["doc_id"] for r in jaccard.one_of_each(odd).orderBy("doc_id").collect()] == [0, 2, 3]
+    assert secrets.scan(odd).select(F.size("secret_spans").alias("n")).agg(F.sum("n")).first()[0] == 0
+    import public_tokenizers
+
+    got = pieces.encode(odd, pieces.model_bytes(public_tokenizers.path(corpus_pipeline.MODEL))).where("doc_id = 0").select("decoded").first()
+    assert got["decoded"] == long
+
+
+def test_language_stage_drops_what_is_in_no_language(spark):
+    """Undetermined texts go, and those of which hardly a part is known; without learnt languages all stay."""
+    words = ["the and that with from have this they will would there their".split(), "der die und das nicht mit von sich auch werden haben einer".split()]
+    rng = random.Random(4)
+    rows = [(i, " ".join(rng.choice(words[i % 2]) for _ in range(60)), "ed"[i % 2]) for i in range(80)] + [(100, "12345 67890", None), (101, None, None), (102, "\u0437\u0434\u0440\u0430\u0432\u0441\u0442\u0432\u0443\u0439 \u043c\u0438\u0440 " * 20, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, df, "none").collect()}
+    assert kept == set(range(80))
+    unlabelled = df.withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, "none").count() == len(rows)
