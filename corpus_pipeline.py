@@ -15,7 +15,11 @@ MODEL = "piece_bpe_32k.model"
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that the labelled ones among them have; without any labelled, all."""
+    """Documents in a language that the labelled ones among them have; without any labelled, all.
+
+    What goes: null texts and those without a letter, and texts of which less than LEAST_KNOWN of the n-grams are of the language
+    that fits best. Repeated rows, null keys and all columns stay as they are.
+    """
     filters = langid.fit(docs)
     if not filters.langs:
         return docs
@@ -25,7 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one of the least id."""
+    """One document of each group of near duplicates, the one of the least id; documents without words all stay."""
     return jaccard.one_of_each(docs)
 
 
@@ -37,12 +41,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them: none, once or several times, as equal rows. Null texts have no words and are never in want of copies."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, and the original byte span of each."""
+    """Token ids of each document, and the original byte span of each, empty for null and empty texts; of the other columns doc_id and source are left."""
     found = pieces.encode(docs.select("doc_id", "source", "text"), pieces.model_bytes(public_tokenizers.path(MODEL)), keep_text=False)
     return found.select("doc_id", "source", "piece_ids", "piece_begins", "piece_ends", F.size("piece_ids").cast("long").alias("n_tokens"))
 
