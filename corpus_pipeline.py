@@ -41,7 +41,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them: none, once or several times, as equal rows. Null texts have no words and are never in want of copies."""
+    """Documents as often as the mix of sources takes them: none, once or several times, as equal rows. Null texts have no words, and come as often as the rate of their source says."""
     return mixing.mix(docs)
 
 
