@@ -9,7 +9,7 @@ from ..functions.compat import first_by, logistic
 from ..operators.joins import asof, retaliation
 from ..operators.models import logistic_fit
 from ..operators.sequences import running
-from ..sources.sessions import ROUND, Session
+from ..sources.sessions import ROUND, Session, layer
 from .combat import BY, TRADE_WINDOW
 from .registry import on_session
 
@@ -108,7 +108,11 @@ def fitted_round_model(s: Session) -> DataFrame:
 
 
 def deltas(s: Session) -> DataFrame:
-    """Deaths before the end of their round, with t's chance before and after, and what the killer's side gained."""
+    """Deaths before the end of their round, with t's chance before and after, and what the killer's side gained; written once."""
+    return layer(s.spark, s.sf_dir, "deltas", lambda: _deltas(s))
+
+
+def _deltas(s: Session) -> DataFrame:
     rows = deaths(s).join(s.rounds.select(*ROUND, "end"), ROUND).where("tick < end")
     rows = rows.withColumn("p_before", chance(before("t"))).withColumn("p_after", chance(after("t")))
     gain = F.col("p_after") - F.col("p_before")
@@ -144,8 +148,12 @@ def swing_rows(s: Session) -> DataFrame:
 
     A victim pays what the killer's side gains. Of it mates who had hurt the victim, and the one who had blinded it longest, have
     their shares, a kill that avenges has one of its own; the killer has what is left. What the end adds to the last chance goes to
-    the winners who live (all, if none does) and comes from the losers who do (the last to die, if none does).
+    the winners who live (all, if none does) and comes from the losers who do (the last to die, if none does). Written once.
     """
+    return layer(s.spark, s.sf_dir, "swing", lambda: _swing_rows(s), ["match_id", "round_num", "player"])
+
+
+def _swing_rows(s: Session) -> DataFrame:
     gains = deltas(s).select(*ROUND, "event_seq", "tick", "attacker", "attacker_side", "victim", "delta", "p_after")
     hits = s.damages.select(*ROUND, "victim", F.col("attacker").alias("player"), F.col("attacker_side").alias("hit_side"), F.col("tick").alias("hit_tick"), "dmg")
     helped = gains.join(hits, [*ROUND, "victim"]).where("player <> attacker and hit_side = attacker_side and hit_tick <= tick")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import nearest_quantiles
 from ..functions.geometry import distance, yaw_difference, yaw_to
 from ..operators.joins import asof, retaliation
-from ..sources.sessions import GRID, ROUND, Session
+from ..sources.sessions import GRID, ROUND, Session, layer
 from .chances import DELTAS_SQL, deltas
 from .combat import TRADE_WINDOW, opening
 from .economy import BUYS_SQL, buys
@@ -75,7 +75,11 @@ nt AS (SELECT *, coalesce(of_round, CASE WHEN blind THEN 'blind' WHEN duel THEN
 
 
 def mates(s: Session) -> DataFrame:
-    """For each death and each living mate what the mate saw and did in the window after it, and the round's reason."""
+    """For each death and each living mate what the mate saw and did in the window after it, and the round's reason; written once."""
+    return layer(s.spark, s.sf_dir, "mates", lambda: _mates(s))
+
+
+def _mates(s: Session) -> DataFrame:
     died = s.kills.groupBy(*ROUND, F.col("victim").alias("mate")).agg(F.min("tick").alias("mate_died"))
     cases = s.kills.select(*ROUND, "event_seq", "tick", "victim", "attacker", F.col("victim_side").alias("side"))
     cases = cases.join(s.roster.withColumnRenamed("player", "mate"), [*ROUND, "side"]).where("mate <> victim").join(died, [*ROUND, "mate"], "left").where("mate_died is null or mate_died > tick")
@@ -221,7 +225,11 @@ oc AS (SELECT 'did not trade' AS kind, match_id, round_num, event_seq, mate AS p
 
 
 def occurrences(s: Session) -> DataFrame:
-    """(kind, match_id, round_num, event_seq, player, side, excused) of the mistakes of several kinds."""
+    """(kind, match_id, round_num, event_seq, player, side, excused) of the mistakes of several kinds; written once."""
+    return layer(s.spark, s.sf_dir, "occurrences", lambda: _occurrences(s), ["match_id", "round_num", "event_seq"])
+
+
+def _occurrences(s: Session) -> DataFrame:
     cols = [*ROUND, "event_seq", "player", "side", "excused"]
     rows = s.blinds.where("thrower_side = victim_side and thrower <> victim").groupBy(*ROUND, "tick", F.col("thrower").alias("player"), F.col("thrower_side").alias("side")).agg(F.min("event_seq").alias("event_seq"), F.sum("duration").alias("value"))
     flashes = over_limit(with_round_filter(s, rows, "side", "of_round"), TEAM_SECONDS, ONE_FLASH, LEAST_FLASH)
