@@ -10,8 +10,9 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from bisect import bisect_left
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 from itertools import accumulate
 
 import pyarrow as pa
@@ -23,6 +24,7 @@ from .common import dropped, map_texts, written
 
 ASSIGN, ACCESS, HEX, GUESS = "assign", "access", "hex", "guess"
 KINDS = (ASSIGN, ACCESS, HEX, GUESS)
+SEGMENTS = ("brute", "word", "date", "repeat", "walk", "space")
 
 _either = lambda words: re.sub("[a-z]", lambda m: f"[{m[0]}{m[0].upper()}]", words)  # noqa: E731  ASCII letters only
 ASSIGN_NAMES = ("password", "passwd", "secret", "token", "api_key", "apikey")
@@ -108,7 +110,7 @@ class GuessCost:
         self.words = words
         self.lengths = sorted({len(w) for w in words})
 
-    def spans(self, value: str, at: int, low: str, plain: str, runs: list[list[int]], walks: list[tuple[int, int]], steps: list[int]) -> Iterable[tuple[int, float, str]]:
+    def spans(self, value: str, at: int, low: str, plain: str, runs: list[Sequence[int]], walk: tuple[int, int], step: int) -> Iterable[tuple[int, float, str]]:
         """Spans that begin at a place: (end, log10 of guesses, kind). Runs are taken to their ends."""
         n = len(value)
         yield at + 1, brute(value[at]), "brute"
@@ -124,42 +126,43 @@ class GuessCost:
             times = (ends[at] - at) // unit
             if times >= (3 if unit == 1 else 2) and times * unit >= 3:
                 yield at + times * unit, unit * brute(value[at]) + math.log10(times), "repeat"
-        end, turns = walks[at]
+        end, turns = walk
         if end - at >= 4:
             yield end, math.log10(47 * (end - at)) + 0.6 * turns, "walk"
         if value[at] == " " and 0 < at < n - 1:
             yield at + 1, SPACE, "space"
-        if steps[at] - at >= 4:
-            yield steps[at], math.log10(26 * (steps[at] - at)), "walk"
+        if step - at >= 4:
+            yield step, math.log10(26 * (step - at)), "walk"
 
     def best(self, value: str) -> tuple[float, list[tuple[int, int, str]]]:
-        """log10 of the least guesses, and the segments of a segmentation that takes so few. Linear in the length."""
+        """log10 of the least guesses, and the segments of a segmentation that takes so few. Time and memory are linear in the length, some sixty bytes a character."""
         n = len(value)
         low = value.lower() if len(value.lower()) == n else value
         plain = low.translate(LOOKS_LIKE)
         runs = []  # where the repetition of the unit that begins at a place ends
         for unit in range(1, 5):
-            ends = [min(i + unit, n) for i in range(n)]
+            ends = array("q", (min(i + unit, n) for i in range(n)))
             for i in range(n - unit - 1, -1, -1):
                 if low[i] == low[i + unit]:
                     ends[i] = max(ends[i], ends[i + 1], i + unit + 1)
             runs.append(ends)
-        walks, steps = [(n, 0)] * n, [n] * n  # ends of walks over touching keys, with their turns, and of sequences as in abcd
+        # ends of walks over touching keys, with their turns, and of sequences as in abcd
+        walks, turns, steps = array("q", [n]) * n, array("q", [0]) * n, array("q", [n]) * n
         for i in range(n - 2, -1, -1):
             touch = low[i + 1] in NEIGHBOURS.get(low[i], ())
-            turn = i + 2 < walks[i + 1][0] and ord(low[i + 1]) - ord(low[i]) != ord(low[i + 2]) - ord(low[i + 1])
-            walks[i] = (walks[i + 1][0], walks[i + 1][1] + turn) if touch else (i + 1, 0)
+            turn = i + 2 < walks[i + 1] and ord(low[i + 1]) - ord(low[i]) != ord(low[i + 2]) - ord(low[i + 1])
+            walks[i], turns[i] = (walks[i + 1], turns[i + 1] + turn) if touch else (i + 1, 0)
             steps[i] = steps[i + 1] if ord(low[i + 1]) - ord(low[i]) == 1 and low[i].isalnum() else i + 1
-        cost, back = [0.0] + [math.inf] * n, [(0, "")] * (n + 1)
+        cost, back, by = array("d", [math.inf]) * (n + 1), array("q", [0]) * (n + 1), bytearray(n + 1)
+        cost[0] = 0.0
         for i in range(n):
-            for end, guesses, kind in self.spans(value, i, low, plain, runs, walks, steps):
+            for end, guesses, kind in self.spans(value, i, low, plain, runs, (walks[i], turns[i]), steps[i]):
                 if cost[i] + guesses < cost[end]:
-                    cost[end], back[end] = cost[i] + guesses, (i, kind)
+                    cost[end], back[end], by[end] = cost[i] + guesses, i, SEGMENTS.index(kind)
         segments, at = [], n
         while at:
-            start, kind = back[at]
-            segments.append((start, at, kind))
-            at = start
+            segments.append((back[at], at, SEGMENTS[by[at]]))
+            at = back[at]
         return cost[n], segments[::-1]
 
 

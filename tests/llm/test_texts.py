@@ -141,7 +141,7 @@ def least_cost(value: str, cost: secrets.GuessCost) -> float:
         return e
 
     runs = [[min(n, run(i, u)) for i in range(n)] for u in range(1, 5)]
-    options = [list(cost.spans(value, i, low, plain, runs, [walk(i) for i in range(n)], [step(i) for i in range(n)])) for i in range(n)]
+    options = [list(cost.spans(value, i, low, plain, runs, walk(i), step(i))) for i in range(n)]
 
     def search(i: int, so_far: float) -> None:
         nonlocal best
