@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.compat import first_by, ratio
 from ..operators import grouped, oplog
 from ..operators.joins import asof
-from ..operators.models import resamples
+from ..operators.models import parabola, resamples
 from ..operators.sequences import hysteresis
 from ..sources.sessions import ROUND, Session, first_side, nth_round
 from .combat import BY
@@ -155,9 +155,14 @@ def simplified_tracks(s: Session) -> DataFrame:
     return grouped.simplified(s.ticks, BY, "tick", ["x", "y"], 32.0)
 
 
-@on_session()
+@on_session(""", r AS (SELECT match_id, player, x AS v, greatest(max(tick) OVER w - min(tick) OVER w, 1)::DOUBLE AS scale, (tick - min(tick) OVER w) / greatest(max(tick) OVER w - min(tick) OVER w, 1)::DOUBLE AS u FROM ticks WINDOW w AS (PARTITION BY match_id, player)),
+s AS (SELECT match_id, player, max(scale) AS scale, count(DISTINCT u) AS times, count(*)::DOUBLE AS s0, sum(u) AS s1, sum(u*u) AS s2, sum(u*u*u) AS s3, sum(u*u*u*u) AS s4, sum(v) AS v0, sum(v*u) AS v1, sum(v*u*u) AS v2 FROM r GROUP BY 1, 2),
+f AS (SELECT match_id, player, scale, (v0*(s2*s4-s3*s3) - s1*(v1*s4-s3*v2) + s2*(v1*s3-s2*v2)) / nullif(s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2), 0) AS a, (s0*(v1*s4-s3*v2) - v0*(s1*s4-s3*s2) + s2*(s1*v2-v1*s2)) / nullif(s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2), 0) AS b, (s0*(s2*v2-v1*s3) - s1*(s1*v2-v1*s2) + v0*(s1*s3-s2*s2)) / nullif(s0*(s2*s4-s3*s3) - s1*(s1*s4-s3*s2) + s2*(s1*s3-s2*s2), 0) AS c FROM s WHERE times >= 3)
+SELECT match_id, player, round(a, 4) AS start, round(b / f.scale * 1000, 4) AS speed, round(max(abs(a + b * u + c * u * u - v)), 3) AS residual FROM f JOIN r USING (match_id, player) GROUP BY match_id, player, a, b, f.scale""")
 def fitted_parabolas(s: Session) -> DataFrame:
-    return grouped.parabola(s.ticks, ["match_id", "player"], "tick", "x")
+    """A parabola through each player's values over time: where it starts, how fast, and what strays most."""
+    fit = parabola(s.ticks, ["match_id", "player"], "tick", "x").where("a is not null")
+    return fit.select("match_id", "player", F.round("a", 4).alias("start"), F.round(F.col("b") * 1000, 4).alias("speed"), F.round("residual", 3).alias("residual"))
 
 
 @on_session()

@@ -11,6 +11,8 @@ spark.checkpoint.dir, ordered by match, and every query reads what it needs of t
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Sequence
@@ -26,6 +28,21 @@ ROUNDS, SLOTS, TICKS, GRID = 30, 10, 14_400, 600
 WEAPONS = ("rifle", "sniper", "smg", "pistol", "he", "fire", "knife")
 
 _layers: dict[tuple[str, str, str], DataFrame] = {}
+_written: list[tuple[SparkSession, str]] = []
+
+
+def made(spark: SparkSession, path: str) -> None:
+    _written.append((spark, path))
+
+
+@atexit.register
+def _clean() -> None:
+    """Tables and folders that this driver made go with it."""
+    for spark, path in _written:
+        with contextlib.suppress(Exception):  # the JVM may have gone first
+            if spark.sparkContext._jsc is not None:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,6 +51,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="roundhouse-layer-")
+        made(spark, folder)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
@@ -44,6 +62,7 @@ def layer(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], DataFr
     if key not in _layers:
         df = make()
         path = f"{shared_folder(spark)}/session-{name}-{uuid.uuid4().hex}"
+        made(spark, path)
         df.repartitionByRange("match_id").sortWithinPartitions(*order).write.parquet(path)
         _layers[key] = spark.read.schema(df.schema).parquet(path)
     return _layers[key]

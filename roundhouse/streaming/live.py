@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..sources.sessions import shared_folder
+from ..sources.sessions import made, shared_folder
 
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
@@ -82,6 +82,7 @@ def drained(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
     """All that a stream gives of what is there now, as a table of files in the folder of spark.checkpoint.dir, where its state and offsets are too."""
     spark = df.sparkSession
     folder = f"{shared_folder(spark)}/stream-{name}-{uuid.uuid4().hex}"
+    made(spark, folder)
     out = df.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True)
     if mode == "append":
         q = out.format("parquet").option("path", f"{folder}/rows").start()

@@ -223,7 +223,7 @@ def test_grouped(spark):
     track = spark.createDataFrame([("a", t, float(t if t <= 5 else 10 - t), 0.0) for t in range(11)], "k string, t long, x double, y double")
     assert sorted(r["t"] for r in grouped.simplified(track, ["k"], "t", ["x", "y"], 0.5).collect()) == [0, 5, 10]
     throw = spark.createDataFrame([("a", float(t), 3.0 + 2 * t - t * t) for t in range(5)] + [("b", 1.0, 1.0)], "k string, t double, z double")
-    fit = {r["k"]: r for r in grouped.parabola(throw, ["k"], "t", "z").collect()}
+    fit = {r["k"]: r for r in models.parabola(throw, ["k"], "t", "z").collect()}
     assert (round(fit["a"]["a"], 6), round(fit["a"]["b"], 6), round(fit["a"]["c"], 6)) == (3.0, 2.0, -1.0) and fit["b"]["a"] is None
     want = spark.createDataFrame([("a", 10, None), ("a", 12, None), ("a", 30, None), ("a", None, 9), ("a", None, 11)], "k string, want long, have long")
     assert [(r["want"], r["have"]) for r in grouped.greedy_latest(want, ["k"], "want", "have", 5).orderBy("want").collect()] == [(10, 9), (12, 11), (30, None)]
