@@ -7,6 +7,7 @@ alignment. The ids are those of the sentencepiece library; decoding is the libra
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from collections.abc import Iterator
@@ -237,6 +238,7 @@ NEW = T.StructType(
         T.StructField("piece_begins", T.ArrayType(T.IntegerType())),
         T.StructField("piece_ends", T.ArrayType(T.IntegerType())),
         T.StructField("decoded", T.StringType()),
+        T.StructField("piece_spans_sha256", T.StringType()),
     ]
 )
 
@@ -248,7 +250,7 @@ def model_bytes(path: str) -> bytes:
 
 
 def encode(docs: DataFrame, model: bytes, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """docs with the columns piece_ids, piece_begins, piece_ends (original byte spans, end exclusive) and decoded.
+    """docs with the columns piece_ids, piece_begins, piece_ends (original byte spans, end exclusive), decoded and piece_spans_sha256 (of all begins, then all ends, as four bytes each, the lowest first).
 
     A null or empty text has no pieces and decodes to the empty text. Texts are encoded whole, however long. Other columns pass
     through, the text too unless keep_text is false; columns of the new names are replaced. An empty table gives no rows.
@@ -262,7 +264,9 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", keep_text: bool =
             rows = list(encoder.encode([t or "" for t in texts]))
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32))
             lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([r[k] for r in rows]))) for k in range(3)]
-            return [*lists, pa.array([encoder.decode(r[0].tolist()) if len(r[0]) else "" for r in rows], pa.string())]
+            decoded = [encoder.decode(r[0].tolist()) if len(r[0]) else "" for r in rows]
+            spans = [hashlib.sha256(np.concatenate([r[1], r[2]]).astype("<i4").tobytes()).hexdigest() for r in rows]
+            return [*lists, pa.array(decoded, pa.string()), pa.array(spans, pa.string())]
 
         return work
 

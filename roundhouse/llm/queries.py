@@ -111,7 +111,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
         F.coalesce(F.array_max("piece_ends"), F.lit(0)).cast("long").alias("bytes_covered"),
-        F.sha2(F.array_join(F.transform(F.arrays_zip("piece_begins", "piece_ends"), lambda s: F.concat_ws(":", s["piece_begins"].cast("string"), s["piece_ends"].cast("string"))), ","), 256).alias("spans_sha256"),
+        F.col("piece_spans_sha256").alias("spans_sha256"),
     )
 
 
