@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import aiming, chances, combat, economy, live, logs, match, mistakes, places, roles, rounds, selection, standing, timing
+from . import aiming, chances, combat, economy, live, logs, match, mistakes, places, playstyle, roles, rounds, selection, standing, timing
 from .registry import QUERIES, SQL
 
-__all__ = ["QUERIES", "SQL", "aiming", "chances", "combat", "economy", "live", "logs", "match", "mistakes", "places", "roles", "rounds", "selection", "standing", "timing"]
+__all__ = ["QUERIES", "SQL", "aiming", "chances", "combat", "economy", "live", "logs", "match", "mistakes", "places", "playstyle", "roles", "rounds", "selection", "standing", "timing"]
