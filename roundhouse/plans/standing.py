@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.compat import binomial_tail, first_by, half_even, logistic, nearest_quantiles, ramp, ratio, ratio_or_zero, share_at_most, weighted_percentile
+from ..functions.compat import binomial_tail, exact_mean, first_by, half_even, logistic, nearest_quantiles, ramp, ratio, ratio_or_zero, share_at_most, weighted_percentile
 from ..functions.geometry import angle_between, cell, circular_mean, distance, pitch_to, view_vector, yaw_difference, yaw_to
 from ..operators.models import imputed, nearest_centre, rand_index, scored, standardised
 from ..operators.rates import Rate, accumulated, finished, hierarchical, method_of_moments, others_median, outliers, quantile_reference, rates, shrunk
@@ -206,7 +206,7 @@ def label_agreement(s: Session) -> DataFrame:
 
 @on_session("""SELECT player, round_even(avg(x), 1) AS x1, round_even(2.5 + (player % 2), 0)::DOUBLE AS half FROM ticks GROUP BY 1""")
 def half_even_rounding(s: Session) -> DataFrame:
-    return s.ticks.groupBy("player").agg(half_even(F.avg("x"), 1).alias("x1")).withColumn("half", half_even(F.lit(2.5) + F.col("player") % 2, 0))
+    return s.ticks.groupBy("player").agg(half_even(exact_mean("x"), 1).alias("x1")).withColumn("half", half_even(F.lit(2.5) + F.col("player") % 2, 0))
 
 
 @on_session("""SELECT round(corr(x, y), 6) AS r, round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 4) AS base, regr_count(y, x)::BIGINT AS n FROM shots""")

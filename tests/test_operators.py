@@ -132,6 +132,14 @@ def test_scalars(spark):
     assert tail == pytest.approx(sum(math.comb(10, i) * 0.25**i * 0.75 ** (10 - i) for i in range(3, 11)))
 
 
+def test_exact_mean(spark):
+    """The mean of 0.01 and 2.69 is a half at one place, which their sum as doubles misses; no order of a sum changes it."""
+    rows = [("a", 0.01), ("a", 2.69), ("b", float("nan")), ("b", 1.0), ("c", None), ("d", 1e300), ("d", 3e300), ("e", None), ("e", 2.5)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    got = {r["k"]: r["m"] for r in df.groupBy("k").agg(compat.half_even(compat.exact_mean("v"), 1).alias("m")).collect()}
+    assert math.isnan(got.pop("b")) and got == {"a": 1.4, "c": None, "d": 2e300, "e": 2.5}
+
+
 def test_quantiles(spark):
     values = [5.0, 1.0, 3.0, 2.0, 9.0, 9.0]
     df = spark.createDataFrame([(v,) for v in values], "v double")
