@@ -2,8 +2,11 @@
 
 Vectors are brought to unit length; those that are equal are one class. A coarse quantiser deals them to inverted lists; what is
 left of a vector in its list is coded subspace by subspace. A vector probes the lists that a neighbour of it may be in; there,
-distances come from a table of its distances to each subspace's codewords. As the error that coding makes is known of every
+distances come from a table of its products with each subspace's codewords. As the error that coding makes is known of every
 vector, no near one is lost by its table distance; those that may be near are held against each other exactly, in double precision.
+
+Lists are written once, as blocks of one row each. Blocks meet in a join that reads them again and again and shuffles nothing, so
+that the disk that is taken grows by the rows, however many lists a vector probes.
 """
 
 from __future__ import annotations
@@ -15,16 +18,16 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import bounded_batches, dropped, written
 from .components import components
-from .vectors import by_length, centroids, drawn, matrix, squared, with_bytes
+from .vectors import by_length, centroids, drawn, squared, with_bytes
 
-#: Rows of a list that are held against each other in one task; longer lists are split.
+#: Rows of a list in one block; longer lists have several.
 BLOCK = 4096
 #: Queries whose tables are made at a time.
 AT_ONCE = 128
@@ -34,6 +37,7 @@ AT_ONCE = 128
 class Index:
     coarse: np.ndarray
     words: np.ndarray  # (subspaces, codewords, components of a subspace); the dimension is padded with zeros
+    share: np.ndarray  # of the sample, in each list
 
     @property
     def width(self) -> int:
@@ -49,10 +53,21 @@ class Index:
         said = np.stack([w[codes[:, s]] for s, w in enumerate(self.words)], axis=1)
         return codes, np.sqrt(((parts - said) ** 2).sum(axis=(1, 2)))
 
-    def tables(self, rest: np.ndarray) -> np.ndarray:
-        """(subspaces, codewords, queries): squared distances of queries' residuals to the codewords."""
-        parts = self.parts(rest)
-        return np.stack([squared(w, parts[:, s]) for s, w in enumerate(self.words)])
+    def tables(self, x: np.ndarray) -> np.ndarray:
+        """(subspaces, codewords, queries): -2 times the products of queries with the codewords, in single precision."""
+        parts = self.parts(x)
+        return np.stack([-2.0 * (w @ parts[:, s].T) for s, w in enumerate(self.words)]).astype(np.float32)
+
+    def said(self, codes: np.ndarray, own: int, dim: int) -> np.ndarray:
+        """The vectors of one list that their codes say."""
+        return np.concatenate([w[codes[:, s]] for s, w in enumerate(self.words)], axis=1)[:, :dim] + self.coarse[own]
+
+
+def units(blobs: list[bytes], dim: int, kind: type) -> np.ndarray:
+    """Vectors from their bytes, brought to unit length in double precision."""
+    x = np.frombuffer(b"".join(blobs), kind).reshape(-1, dim).astype(np.float64)
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
 def fit(sample: np.ndarray, rows: int, lists: float, subspaces: int, seed: int = 1) -> Index:
@@ -62,109 +77,189 @@ def fit(sample: np.ndarray, rows: int, lists: float, subspaces: int, seed: int =
     """
     k = max(1, min(math.ceil(lists * math.sqrt(rows)), len(sample) // 10 or 1))
     coarse = centroids(sample, k, seed=seed)
-    rest = sample - coarse[squared(sample, coarse).argmin(axis=1)]
+    own = squared(sample, coarse).argmin(axis=1)
+    rest = sample - coarse[own]
     subspaces = max(1, min(subspaces, sample.shape[1]))
     size = -(-sample.shape[1] // subspaces)
-    index = Index(coarse, np.zeros((-(-sample.shape[1] // size), 1, size)))
+    index = Index(coarse, np.zeros((-(-sample.shape[1] // size), 1, size)), np.bincount(own, minlength=k) / max(1, len(own)))
     parts = index.parts(rest[:10_000])
     index.words = np.stack([centroids(parts[:, s], min(256, len(parts)), 6, seed + s) for s in range(parts.shape[1])])
     return index
 
 
-def _placed(classes: DataFrame, index, dim: int, reach: float) -> DataFrame:
-    """(list, class, size, vec, codes, error, probed) of every class; probed: the lists that it probes, its own included, as int32 bytes.
-
-    A class probes each list whose border is within reach, before or after its own. The way between two neighbours in different
-    lists crosses the border, so that one of them is within half their distance of it.
-    """
+def _placed(classes: DataFrame, index, dim: int, kind: type, rows: int) -> DataFrame:
+    """(list, part, class, size, vec) of every class: its own list, and its part of it, by hash, as the sample says that the list has several blocks."""
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = index.value
-        apart = np.sqrt(squared(ix.coarse, ix.coarse))
+        parts = np.ceil(ix.share * rows / BLOCK).astype(np.int64).clip(1)
         for b in batches:
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                x = matrix(part.column(2).to_pylist(), dim)
-                d = squared(x, ix.coarse)
-                own = d.argmin(axis=1)
-                codes, error = ix.coded(x - ix.coarse[own])
-                near = d - d[np.arange(len(x)), own][:, None] <= 2.0 * reach * apart[own] + 1e-9  # more than rounding can take away
-                near[np.arange(len(x)), own] = True
-                probed = [np.flatnonzero(n).astype(np.int32).tobytes() for n in near]
-                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), *part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array(probed, pa.binary())], ["list", "class", "size", "vec", "codes", "error", "probed"])
+                own = squared(units(part.column(2).to_pylist(), dim, kind), ix.coarse).argmin(axis=1)
+                dealt = part.column(0).to_numpy() % parts[own]
+                yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(dealt.astype(np.int32)), *part.columns], ["list", "part", "class", "size", "vec"])
 
-    return classes.mapInArrow(placed, "list int, class long, size long, vec binary, codes binary, error double, probed binary")
+    return classes.select("class", "size", "vec").mapInArrow(placed, "list int, part int, class long, size long, vec binary")
 
 
-def _probes(lists: DataFrame) -> DataFrame:
-    """(list, home, class, size, vec) for each list that a class probes; home is its own list."""
+def _blocks(placed: DataFrame, index, dim: int, kind: type, reach: float) -> DataFrame:
+    """(block, list, reach, classes, sizes, vecs, codes, errors): one row for at most BLOCK classes of one list; block is its first class.
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The arrays of its classes are bytes. A class probes each list whose border is within reach, before or after its own; the column
+    reach has all lists that any of the block does, its own included. The way between two neighbours in different lists crosses the
+    border, so that one of them is within half their distance of it.
+    """
+    schema = "block long, list int, reach array<int>, classes binary, sizes binary, vecs binary, codes binary, errors binary"
+
+    def block(ix: Index, apart: np.ndarray, rows: pa.Table) -> pa.RecordBatch:
+        own = rows["list"][0].as_py()
+        classes, sizes = rows["class"].to_numpy(), rows["size"].to_numpy()
+        blobs = rows["vec"].to_pylist()
+        reached, codes, errors = np.arange(len(ix.coarse)) == own, [], []
+        for i in range(0, len(blobs), 256):
+            x = units(blobs[i : i + 256], dim, kind)
+            reached |= _probing(x, ix, own, apart[own], reach).any(axis=0)
+            code, error = ix.coded(x - ix.coarse[own])
+            codes.append(code.tobytes())
+            errors.append(error.tobytes())
+        of = lambda v: pa.array([v], pa.binary())
+        lists = pa.array([np.flatnonzero(reached).astype(np.int32)], pa.list_(pa.int32()))
+        columns = [pa.array(classes[:1]), pa.array([own], pa.int32()), lists, of(classes.tobytes()), of(sizes.tobytes()), of(b"".join(blobs)), of(b"".join(codes)), of(b"".join(errors))]
+        return pa.RecordBatch.from_arrays(columns, ["block", "list", "reach", "classes", "sizes", "vecs", "codes", "errors"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        apart = np.sqrt(squared(ix.coarse, ix.coarse))
+        held = None
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
-                at = [np.frombuffer(p, np.int32) for p in part.column(4).to_pylist()]
-                row = np.repeat(np.arange(len(at)), [len(p) for p in at])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(at)), *part.take(pa.array(row)).columns[:4]], ["list", "home", "class", "size", "vec"])
+            rows = pa.Table.from_batches([b])
+            held = rows if held is None else pa.concat_tables([held, rows])
+            own = held["list"].to_numpy()
+            ends = np.append(np.flatnonzero(own[1:] != own[:-1]) + 1, len(own))
+            begin = 0
+            for end in ends.tolist():
+                while end - begin >= BLOCK or (end < len(own) and begin < end):
+                    take = min(BLOCK, end - begin)
+                    yield block(ix, apart, held.slice(begin, take))
+                    begin += take
+            held = held.slice(begin)
+        if held is not None and held.num_rows:
+            yield block(ix, apart, held)
+
+    return placed.repartition("list", "part").sortWithinPartitions("list").mapInArrow(run, schema)
+
 
-    return lists.select(F.col("list").alias("home"), "class", "size", "vec", "probed").mapInArrow(probes, "list int, home int, class long, size long, vec binary")
+def _probing(x: np.ndarray, ix: Index, own: int, apart: np.ndarray, reach: float, lists: slice | list[int] = slice(None)) -> np.ndarray:
+    """(rows, lists): whether rows of the list own probe others; apart are the distances of its centre from theirs."""
+    far = squared(x, ix.coarse[lists]) - ((x - ix.coarse[own]) ** 2).sum(axis=1)[:, None]
+    return far <= 2.0 * reach * apart[lists] + 1e-9  # more than rounding can take away
 
 
-def _found(queries: pd.DataFrame, rows: pd.DataFrame, ix: Index, dim: int, least: float) -> pd.DataFrame:
-    """Links between two blocks of one list: of each class how many vectors it links with (b null), and edges (a, b) that connect what is linked."""
-    none = pd.DataFrame({"a": np.zeros(0, np.int64), "b": pd.array([], "Int64"), "links": np.zeros(0, np.int64)})
+@dataclass
+class Block:
+    """A row of blocks, unpacked."""
+
+    own: int
+    classes: np.ndarray
+    sizes: np.ndarray
+    x: np.ndarray
+    codes: np.ndarray  # (subspaces, rows)
+    limit: np.ndarray  # the table distance that a near one may have at most, less the squared norm of what the codes say
+    tables: np.ndarray | None = None
+
+    @classmethod
+    def of(cls, row: list, ix: Index, dim: int, kind: type, least: float) -> Block:
+        own, classes, sizes, vecs, codes, errors = row
+        classes = np.frombuffer(classes, np.int64)
+        codes = np.frombuffer(codes, np.uint8).reshape(len(classes), -1)
+        said = ix.said(codes, own, dim)
+        # single precision is enough for a threshold that is wide by much more than its error
+        limit = (math.sqrt(2.0 - 2.0 * least) + np.frombuffer(errors) + 1e-3) ** 2 - (said * said).sum(axis=1)
+        return cls(own, classes, np.frombuffer(sizes, np.int64), units([vecs], dim, kind), np.ascontiguousarray(codes.T.astype(np.intp)), limit.astype(np.float32))
+
+
+def _near(q: Block, r: Block, queries: np.ndarray, rows: np.ndarray, ix: Index, least: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in q, in r) of those of some queries and rows that are near each other, some queries at a time."""
     if not len(queries) or not len(rows):
-        return none
-    at = int(rows["list"].iloc[0])
-    centre = ix.coarse[at]
-    codes = np.frombuffer(b"".join(rows["codes"]), np.uint8).reshape(len(rows), -1)
-    y, q = matrix(list(rows["vec"]), dim), matrix(list(queries["vec"]), dim)
-    a, b = queries["class"].to_numpy(np.int64), rows["class"].to_numpy(np.int64)
-    size_a, size_b = queries["size"].to_numpy(np.int64), rows["size"].to_numpy(np.int64)
-    home = queries["home"].to_numpy(np.int64)
-    probed = [np.frombuffer(p, np.int32) for p in rows["probed"]]
-    probed = np.repeat(np.arange(len(rows)), [len(p) for p in probed]) * len(ix.coarse) + np.concatenate(probed)  # ascending: row, then list
-    # single precision is enough for a threshold that is wide by much more than its error
-    limit = ((math.sqrt(2.0 - 2.0 * least) + rows["error"].to_numpy() + 1e-3) ** 2).astype(np.float32)
-    codes = np.ascontiguousarray(codes.T.astype(np.intp))
-    count_a, count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-    edges = []
-    for i in range(0, len(q), AT_ONCE):
-        part = slice(i, i + AT_ONCE)
-        table = ix.tables(q[part] - centre).astype(np.float32)
+        return
+    if q.tables is None:
+        q.tables = ix.tables(q.x)
+    codes, limit = r.codes[:, rows], r.limit[rows]
+    # |x|^2 - 2 x * centre, to which the tables add -2 x * (what the rest's code says)
+    base = (1.0 - 2.0 * (q.x @ ix.coarse[r.own])).astype(np.float32)
+    for i in range(0, len(queries), AT_ONCE):
+        part = queries[i : i + AT_ONCE]
+        table = np.ascontiguousarray(q.tables[:, :, part])
         distance = np.take(table[0], codes[0], axis=0, mode="clip")
         looked = np.empty_like(distance)
         for t, code in zip(table[1:], codes[1:], strict=True):
             distance += np.take(t, code, axis=0, out=looked, mode="clip")
-        n, m = np.nonzero(distance <= limit[:, None])
-        m += i
-        # A pair comes up twice within a list, and if both probe the other's; then the class of the list before counts it.
-        wanted = n * len(ix.coarse) + home[m]
-        both = probed[np.minimum(np.searchsorted(probed, wanted), len(probed) - 1)] == wanted
-        keep = np.where(home[m] == at, a[m] < b[n], (home[m] < at) | ~both)
-        m, n = m[keep], n[keep]
-        close = np.concatenate([(q[m[j : j + 65536]] * y[n[j : j + 65536]]).sum(axis=1) for j in range(0, len(m), 65536)]) >= least if len(m) else np.zeros(0, bool)
-        m, n = m[close], n[close]
-        if not len(m):
-            continue
-        np.add.at(count_a, m, size_b[n])
-        np.add.at(count_b, n, size_a[m])
-        label = np.concatenate([a[part], b])
-        u, v = m - i, n + len(a[part])
-        while True:  # the least class that each is connected with here
-            low = np.minimum(label[u], label[v])
-            if (label[u] == low).all() and (label[v] == low).all():
-                break
-            np.minimum.at(label, u, low)
-            np.minimum.at(label, v, low)
-        some = np.unique(np.concatenate([u, v]))
-        node = np.concatenate([a[part], b])[some]
-        edges.append(np.stack([node, label[some]])[:, node != label[some]])
-    links = np.concatenate([count_a, count_b])
-    use = links > 0
-    pairs = np.unique(np.concatenate(edges, axis=1), axis=1) if edges else np.zeros((2, 0), np.int64)
-    counts = pd.DataFrame({"a": np.concatenate([a, b])[use], "b": pd.array([None] * int(use.sum()), "Int64"), "links": links[use]})
-    return pd.concat([counts, pd.DataFrame({"a": pairs[0], "b": pd.array(pairs[1], "Int64"), "links": np.zeros(pairs.shape[1], np.int64)})])
+        n, m = np.nonzero(distance <= limit[:, None] - base[part])
+        m, n = part[m], rows[n]
+        if q is r:
+            m, n = m[m < n], n[m < n]
+        close = np.concatenate([(q.x[m[j : j + 65536]] * r.x[n[j : j + 65536]]).sum(axis=1) for j in range(0, len(m), 65536)]) >= least if len(m) else np.zeros(0, bool)
+        if close.any():
+            yield m[close], n[close]
+
+
+def _found(q: Block, r: Block, ix: Index, apart: np.ndarray, reach: float, least: float) -> pa.RecordBatch | None:
+    """Links between two blocks, or in one: of each class how many vectors it links with (b null), and edges (a, b) that connect what is linked."""
+    every, rows = np.arange(len(q.classes)), np.arange(len(r.classes))
+    if q.own == r.own:
+        found = [*_near(q, r, every, rows, ix, least)]
+    else:  # each pair of which one probes the other's list, once
+        asks = _probing(q.x, ix, q.own, apart[q.own], reach, [r.own])[:, 0]
+        asked = _probing(r.x, ix, r.own, apart[r.own], reach, [q.own])[:, 0]
+        found = [*_near(q, r, every[asks], rows, ix, least), *_near(q, r, every[~asks], rows[asked], ix, least)]
+    if not found:
+        return None
+    m, n = (np.concatenate(x) for x in zip(*found, strict=True))
+    node = q.classes if q is r else np.concatenate([q.classes, r.classes])
+    size = q.sizes if q is r else np.concatenate([q.sizes, r.sizes])
+    v = n if q is r else n + len(q.classes)
+    links = np.zeros(len(node), np.int64)
+    np.add.at(links, m, size[v])
+    np.add.at(links, v, size[m])
+    label = node.copy()
+    while True:  # the least class that each is connected with here
+        low = np.minimum(label[m], label[v])
+        if (label[m] == low).all() and (label[v] == low).all():
+            break
+        np.minimum.at(label, m, low)
+        np.minimum.at(label, v, low)
+    use, edge = np.flatnonzero(links), np.flatnonzero(node != label)
+    a, b = np.concatenate([node[use], node[edge]]), np.concatenate([np.zeros(len(use), np.int64), label[edge]])
+    counted = np.arange(len(a)) < len(use)
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b, mask=counted), pa.array(np.concatenate([links[use], np.zeros(len(edge), np.int64)]))], ["a", "b", "links"])
+
+
+def _links(blocks: DataFrame, index, dim: int, kind: type, reach: float, least: float) -> DataFrame:
+    """(a, b, links) of all pairs of blocks of which one probes the other's list, as of _found().
+
+    The join reads each pair of files again, shuffles nothing and holds one file's rows at a time.
+    """
+    q, r = (blocks.toDF(*[f"{p}_{c}" for c in blocks.columns]) for p in "qr")
+    meet = (F.col("q_block") <= F.col("r_block")) & ((F.col("q_list") == F.col("r_list")) | F.array_contains("q_reach", F.col("r_list")) | F.array_contains("r_reach", F.col("q_list")))
+    take = ["block", "list", "classes", "sizes", "vecs", "codes", "errors"]
+    pairs = q.hint("shuffle_replicate_nl").join(r, meet).select(*[f"{p}_{c}" for p in "qr" for c in take])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ix = index.value
+        apart = np.sqrt(squared(ix.coarse, ix.coarse))
+        at, q = None, None  # one block meets many in a row
+        for b in batches:
+            for i in range(b.num_rows):
+                row = [c[i].as_py() for c in b.columns]
+                if row[0] != at:
+                    at, q = row[0], Block.of(row[1:7], ix, dim, kind, least)
+                r = q if row[7] == at else Block.of(row[8:], ix, dim, kind, least)
+                out = _found(q, r, ix, apart, reach, least)
+                if out is not None:
+                    yield out
+
+    return pairs.mapInArrow(run, "a long, b long, links long")
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", least: float = 0.9, margin: float = 0.5, fit_vectors: int = 20_000, lists: float = 0.4, subspaces: int = 8) -> DataFrame:
@@ -190,7 +285,9 @@ def _of_length(df: DataFrame, dim: int, key: str, vector: str, least: float, mar
     spark = df.sparkSession
     raw = with_bytes(df, key, vector, dim)
 
-    def unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kind = np.float32 if isinstance(df.schema[vector].dataType.elementType, T.FloatType) else np.float64  # vectors are kept as they come
+
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             vec, cls = [], []
             for v in b.column(1).to_pylist():
@@ -198,42 +295,31 @@ def _of_length(df: DataFrame, dim: int, key: str, vector: str, least: float, mar
                     vec.append(None)
                     cls.append(None)
                     continue
-                x = np.frombuffer(v, np.float64)
-                x = x / np.abs(x).max()
-                x = (x / math.sqrt((x * x).sum())).tobytes()
-                vec.append(x)
-                cls.append(int.from_bytes(hashlib.blake2b(x, digest_size=8).digest(), "little", signed=True))
+                x = np.frombuffer(v)
+                vec.append(x.astype(kind).tobytes())
+                cls.append(int.from_bytes(hashlib.blake2b(units([v], dim, np.float64).tobytes(), digest_size=8).digest(), "little", signed=True))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(cls, pa.int64()), pa.array(vec, pa.binary())], ["key", "class", "vec"])
 
-    kind = raw.schema["key"].dataType.simpleString()
-    rows = written(raw.mapInArrow(unit, f"key {kind}, class long, vec binary"))
-    classes = written(rows.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("size"), F.max("vec").alias("vec")))
+    of_key = raw.schema["key"].dataType.simpleString()
+    all_rows = raw.mapInArrow(classed, f"key {of_key}, class long, vec binary")
+    rows = written(all_rows.select("key", "class"))
+    classes = written(all_rows.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("size"), F.max("vec").alias("vec")))
     n = classes.count()
     if not n:
         return rows.select(F.col("key").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("key").alias("component_id"))
     sample = drawn(classes, "class", n, fit_vectors, "quantized").orderBy("class").select("vec").collect()
     if not sample:
         sample = classes.orderBy("class").limit(1).select("vec").collect()
-    index = spark.sparkContext.broadcast(fit(matrix([bytes(r["vec"]) for r in sample], dim), n, lists, subspaces))
+    index = spark.sparkContext.broadcast(fit(units([bytes(r["vec"]) for r in sample], dim, kind), n, lists, subspaces))
     reach = margin * math.sqrt(2.0 - 2.0 * least)
-    listed = written(_placed(classes, index, dim, reach))
-    probes = written(_probes(listed))
-
-    # A list's rows and queries are dealt to blocks; there are as many lists as the fitted index has, some thousand at most.
-    blocks = listed.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("row_blocks")).join(probes.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("query_blocks")), "list")
-    dealt = F.broadcast(written(blocks))
-    cell = lambda c: F.pmod(F.xxhash64("class"), F.col(c))
-    each = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-    left = probes.join(dealt, "list").withColumn("qb", cell("query_blocks")).withColumn("rb", each("row_blocks")).select("list", "rb", "qb", "home", "class", "size", "vec")
-    right = listed.join(dealt, "list").withColumn("rb", cell("row_blocks")).withColumn("qb", each("query_blocks")).select("list", "rb", "qb", "class", "size", "vec", "codes", "error", "probed")
-    found = left.groupBy("list", "rb", "qb").cogroup(right.groupBy("list", "rb", "qb")).applyInPandas(lambda q, r: _found(q, r, index.value, dim, least), "a long, b long, links long")
-    found = written(found)
+    blocks = written(_blocks(_placed(classes, index, dim, kind, n), index, dim, kind, reach))
+    found = written(_links(blocks, index, dim, kind, reach, least))
     counts = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("links").alias("links"))
     comps = written(components(found.where("b is not null").select("a", "b").distinct()))
     sizes = classes.select("class", "size").join(counts, "class", "left").join(comps, classes["class"] == comps["node"], "left")
     sizes = sizes.select("class", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "class").alias("component"))
     labelled = written(rows.select("key", "class").join(sizes, "class", "left"))
-    for done in (rows, classes, listed, probes, found, comps):
+    for done in (rows, classes, blocks, found, comps):
         dropped(done)
     least_key = written(labelled.where("class is not null").groupBy("component").agg(F.min("key").alias("least")))
     return labelled.join(least_key, "component", "left").select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from roundhouse.llm import jaccard, langid, postings, quantized, queries, secrets
-from roundhouse.llm.common import table, written
+from roundhouse.llm.common import shared_folder, table, written
 from roundhouse.llm.components import components
 
 
@@ -141,6 +142,29 @@ def test_near_duplicates(spark, margin):
     assert all(got[i] == (0, i) for i, _ in ODD if i is not None)
 
 
+def test_near_duplicates_of_several_blocks(spark):
+    """A list of more vectors than a block holds, all near each other, and scaled copies."""
+    rng = np.random.default_rng(6)
+    n = quantized.BLOCK + 300
+    x = rng.normal(size=16) + rng.normal(size=(n, 16)) * 0.02
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(n, (x[0] * 4.0).tolist()), (n + 1, (-x[0]).tolist())]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in quantized.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got.pop(n + 1) == (0, n + 1) and set(got.values()) == {(n, 0)} and len(got) == n + 1
+
+
+def test_near_duplicates_disk(spark, monkeypatch):
+    """What is written and shuffled grows by the rows, not by the lists that vectors in random directions probe."""
+    rng = np.random.default_rng(7)
+    n, dim = 6000, 32
+    df = written(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(n, dim)))], "vec_id long, embedding array<float>"))
+    folder = Path(shared_folder(spark))
+    monkeypatch.setattr(quantized, "dropped", lambda df: None)
+    before = set(folder.glob("roundhouse-*"))
+    assert quantized.near_duplicates(df).count() == n
+    made = sum(f.stat().st_size for d in set(folder.glob("roundhouse-*")) - before for f in d.rglob("*.parquet"))
+    assert made < 3.5 * n * dim * 4
+
+
 def test_nearest(spark):
     x = clustered(2, 800, 16)
     rows = [(i, v.tolist()) for i, v in enumerate(x)] + ODD
