@@ -91,12 +91,17 @@ def unit_hash(key: Column, seed: str) -> Column:
     return F.conv(digest, 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
+def clean_labels(labels: DataFrame, key: str, label: str) -> DataFrame:
+    """One row for each key that has a label 0 or 1: contradictory rows of one key count as 1; null keys and other labels are left out."""
+    return labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias(label))
+
+
 def sampled_labels(labels: DataFrame, key: str, label: str, per_class: int, seed: str) -> DataFrame:
     """A sample of about per_class keys of each label 0 and 1, with the weight that undoes it (rows of its class / rows drawn).
 
-    Contradictory rows of one key count as 1. Null keys and labels other than 0 and 1 are left out.
+    Keys and labels are those of clean_labels().
     """
-    clean = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).groupBy(key).agg(F.max(label).cast("int").alias(label))
+    clean = clean_labels(labels, key, label)
     sizes = {r[label]: r["n"] for r in clean.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     rate = {c: min(1.0, per_class / max(1, sizes.get(c, 0))) for c in (0, 1)}
     of = lambda x: F.when(F.col(label) == 1, F.lit(x[1])).otherwise(F.lit(x[0]))

@@ -15,6 +15,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from roundhouse.llm import htmltext, langid, mixing, pieces, quality, queries, secrets, toxicity
+from roundhouse.llm import labelled as llm_labelled
 from roundhouse.llm.common import table
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -385,6 +386,41 @@ def test_toxicity_counts_the_whole_text(spark):
     assert got[0] == got[3] < got[1] < got[2] and got[4] > 0.5
 
 
+def test_toxicity_learns_from_all_labels(spark):
+    """However many labelled documents there are, counts and calibration are those of all of them; other documents teach nothing."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgé") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join([word() for _ in range(6)] + [f"zox{word()}"] * (i % 3 == 0)) for i in range(9000)]
+    y = np.array([int(i % 3 == 0) for i in range(8000)])
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(None, "zoxzox")], "doc_id long, text string").repartition(7)
+    fold = np.array([int(hashlib.md5(f"toxicity{i}".encode()).hexdigest()[:8], 16) % 3 for i in range(8000)])
+    want = toxicity.fit_texts(texts[:8000], y, np.ones(8000), fold)
+    for kind in ("long", "int"):
+        labels = spark.createDataFrame([(i, int(c)) for i, c in enumerate(y)] + [(0, 0), (8500, None), (8501, 2), (None, 1)], f"doc_id {kind}, toxic int")
+        got = toxicity.fit(docs, labels)
+        for a, b in zip(got.grams + got.contexts, want.grams + want.contexts, strict=True):
+            assert np.array_equal(a.keys, b.keys) and np.array_equal(a.values, b.values)
+        assert got.weights == pytest.approx(want.weights, rel=1e-6, abs=1e-6)
+
+
+def test_gram_counts_add_up(spark, monkeypatch):
+    """Words that a task gives on in parts count the same."""
+    docs = spark.createDataFrame([(f"abc abcd x{i % 7} y{i} ab", i % 2, i % 3) for i in range(60)], "text string, label int, fold int").repartition(3)
+    counts = lambda: dict(zip(*(x.tolist() for x in toxicity._counted(docs, 4)), strict=True))
+    whole = counts()
+    assert whole["\x02ab"] == [30] * 6 and whole["abc\x03"] == whole["bcd\x03"] == [10] * 6
+    assert whole["y59\x03"] == [0, 0, 0, 0, 1, 0]
+    monkeypatch.setattr(toxicity, "COUNTED", 9)
+    assert counts() == whole
+
+
+def test_only_keys_keeps_all_of_them(spark):
+    docs = spark.range(20_000).withColumn("text", F.lit("t"))
+    for n in (0, 1, 5_000):
+        kept = {r["id"] for r in llm_labelled.only_keys(docs, "id", spark.range(0, 4 * n, 4).toDF("k")).collect()}
+        assert set(range(0, 4 * n, 4)) <= kept and len(kept) <= n + 20_000 / 12
+
+
 # ---- pages
 
 PAGE = """<html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1><a href=/>Home</a></header>
